@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medspan.llm import chat_render, html_density, lang_crf, quality_ftrl, url_reputation
+from medspan.llm import chat_render, html_density, lang_crf, quality_ftrl, superminhash, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_bucket(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return superminhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; the model never sees the held-out quarter."""
     documents = _table(spark, sf_dir, "documents")
@@ -71,6 +76,7 @@ def op10_chat_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_url_reputation": op4_url_reputation,
     "op5_language_crf": op5_language_crf,
+    "op6_superminhash": op6_superminhash,
     "op8_quality_ftrl": op8_quality_ftrl,
     "op9_html_density": op9_html_density,
     "op10_chat_incremental": op10_chat_incremental,
@@ -112,6 +118,16 @@ j AS (SELECT r.*, coalesce(hm, dm, sm, p0) AS m, coalesce(hv, dv, sv, 0) AS v FR
   LEFT JOIN sm ON sm.suffix = string_split(regexp_replace(r.host, ':\d*$', ''), '.')[-1], t)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
   WHEN greatest(0, m - sqrt(v)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM j""",
+    "op6_superminhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id""",
     "op10_chat_incremental": r"""
 WITH c AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
