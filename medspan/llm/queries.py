@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medspan.llm import chat_render, html_density, lang_crf, quality_ftrl, superminhash, url_reputation
+from medspan.llm import chat_render, html_density, lang_crf, media_jpeg, quality_ftrl, superminhash, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,15 @@ def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a progressive JPEG, read back and described."""
+    media = media_jpeg.media_columns(_table(spark, sf_dir, "documents"))
+    return media.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 def op8_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; the model never sees the held-out quarter."""
     documents = _table(spark, sf_dir, "documents")
@@ -77,6 +86,7 @@ QUERIES = {
     "op4_url_reputation": op4_url_reputation,
     "op5_language_crf": op5_language_crf,
     "op6_superminhash": op6_superminhash,
+    "op7_progressive_jpeg": op7_progressive_jpeg,
     "op8_quality_ftrl": op8_quality_ftrl,
     "op9_html_density": op9_html_density,
     "op10_chat_incremental": op10_chat_incremental,
