@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medspan.llm import chat_render, html_density, lang_crf, media_jpeg, quality_ftrl, superminhash, url_reputation
+from medspan.llm import chat_render, html_density, lang_crf, media_jpeg, quality_ftrl, sentencepiece_trie, superminhash, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,16 @@ def _bucket(mod: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % F.lit(mod)
 
 
+#: Model file of the SentencePiece queries.
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_sentencepiece_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to pieces and decoded again: counts and digests."""
+    model = sentencepiece_trie.load(SENTENCEPIECE_MODEL)
+    return sentencepiece_trie.encode_decode(_table(spark, sf_dir, "documents"), model, digest=True)
+
+
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url by the rules, else by host reputation."""
     pages = _table(spark, sf_dir, "pages")
@@ -83,6 +93,7 @@ def op10_chat_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece_trie": op1_sentencepiece_trie,
     "op4_url_reputation": op4_url_reputation,
     "op5_language_crf": op5_language_crf,
     "op6_superminhash": op6_superminhash,
