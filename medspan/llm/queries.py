@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medspan.llm import chat_render, html_density, lang_crf, media_jpeg, quality_ftrl, sentencepiece_trie, superminhash, url_reputation
+from medspan.llm import chat_render, html_density, lang_crf, media_jpeg, quality_ftrl, sentencepiece_trie, suffix_dedup, superminhash, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op1_sentencepiece_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_trie.encode_decode(_table(spark, sf_dir, "documents"), model, digest=True)
 
 
+def op2_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes that also start in a smaller document, removed."""
+    out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url by the rules, else by host reputation."""
     pages = _table(spark, sf_dir, "pages")
@@ -94,6 +100,7 @@ def op10_chat_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece_trie": op1_sentencepiece_trie,
+    "op2_prefix_free_parsing": op2_prefix_free_parsing,
     "op4_url_reputation": op4_url_reputation,
     "op5_language_crf": op5_language_crf,
     "op6_superminhash": op6_superminhash,
@@ -104,6 +111,20 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_prefix_free_parsing": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 49))) AS s FROM d),
+g AS (SELECT doc_id, s, md5_number(substr(h, CAST(2 * s + 1 AS INT), 100)) AS v FROM p),
+f AS (SELECT v, min(doc_id) AS m FROM g GROUP BY 1),
+x AS (SELECT doc_id, s FROM g JOIN f USING (v) WHERE m < doc_id),
+y AS (SELECT doc_id, s, s - coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -1000) > 50 AS new FROM x),
+z AS (SELECT doc_id, s, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM y),
+r AS (SELECT doc_id, n, min(s) AS a, max(s) + 50 AS b FROM z GROUP BY 1, 2),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c, lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS last FROM r),
+j AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed,
+  string_agg(substr(h, CAST(2 * c + 1 AS INT), CAST(2 * (a - c) AS INT)) || CASE WHEN last THEN substr(h, CAST(2 * b + 1 AS INT)) ELSE '' END, '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN j USING (doc_id)""",
     "op4_url_reputation": r"""
 WITH place AS (
   SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
