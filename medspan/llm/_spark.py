@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,3 +38,9 @@ def runs(batches, keys: list[str]):
                 start = i
     if pending:
         yield pa.concat_tables(pending)
+
+
+def shared_folder(spark) -> str:
+    """A new folder beside the checkpoints, which all executors see."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
+    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medspan.llm import chat_render, html_density, lang_crf, media_jpeg, quality_ftrl, sentencepiece_trie, suffix_dedup, superminhash, url_reputation
+from medspan.llm import chat_render, decontaminate, html_density, lang_crf, media_jpeg, quality_ftrl, sentencepiece_trie, suffix_dedup, superminhash, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op2_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that it holds."""
+    out = decontaminate.contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return out.select(
+        "doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), F.coalesce(F.try_element_at("items", F.lit(1))["coverage"], F.lit(0.0)).alias("coverage"), F.sort_array(F.transform("items", lambda x: x["item_id"])).alias("item_ids"),
+    )
+
+
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url by the rules, else by host reputation."""
     pages = _table(spark, sf_dir, "pages")
@@ -101,6 +109,7 @@ def op10_chat_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece_trie": op1_sentencepiece_trie,
     "op2_prefix_free_parsing": op2_prefix_free_parsing,
+    "op3_string_tiling": op3_string_tiling,
     "op4_url_reputation": op4_url_reputation,
     "op5_language_crf": op5_language_crf,
     "op6_superminhash": op6_superminhash,

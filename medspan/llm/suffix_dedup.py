@@ -293,17 +293,17 @@ _CODEC = pa.Codec("zstd", 1)
 
 
 def _pack(batches):
-    """Texts compressed: doc_id, k, z, n_bytes."""
+    """Texts compressed: doc_id, k, z, n_bytes, and what follows."""
     for batch in batches:
         parts = T.encode(batch.column(2).cast(pa.binary()).to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_CODEC.compress(p, asbytes=True) if p else b"" for p in parts], pa.binary()), pa.array(list(map(len, parts)), pa.int64())], ["doc_id", "k", "z", "n_bytes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_CODEC.compress(p, asbytes=True) if p else b"" for p in parts], pa.binary()), pa.array(list(map(len, parts)), pa.int64()), *batch.columns[3:]], ["doc_id", "k", "z", "n_bytes", *batch.schema.names[3:]])
 
 
 def _unpacked(z: bytes, n: int) -> bytes:
     return _CODEC.decompress(z, n, asbytes=True) if n else b""
 
 
-def _remove(names: list[str]):
+def _remove(names: list[str], decoded: bool):
     def run(batches):
         for batch in batches:
             columns = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
@@ -322,30 +322,42 @@ def _remove(names: list[str]):
                 edges = np.concatenate([[0], np.stack([start, end], 1).ravel(), [n]]).tolist()
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays(
-                [*columns.values(), pa.array(removed, pa.int64()), pa.array(spans_out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())],
-                [*names, "n_removed", "spans", "kept"],
+                [*columns.values(), pa.array(removed, pa.int64()), pa.array(spans_out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary()), *[pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())] * decoded],
+                [*names, "n_removed", "spans", "kept"] + ["kept_text"] * decoded,
             )
 
     return run
 
 
-def remove_repeats(documents: DataFrame, how: Passages = Passages(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, k (hash of the text), n_bytes, n_removed, spans removed (in bytes), kept (the remaining bytes)."""
-    docs = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.col(text)).alias("k"), F.col(text).alias("text"))
+def remove_repeats(documents: DataFrame, how: Passages = Passages(), doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, k (hash of the text), n_bytes, n_removed, spans removed (in bytes), kept (the remaining
+    bytes); with carry also kept_text (without cut characters) and row, a struct of the document's own columns but the text."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != text], F.col(text).isNull().alias("__null")).alias("row")] * carry
+    extra = f", row {documents.select(*row).schema['row'].dataType.simpleString()}" if carry else ""
+    docs = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.col(text)).alias("k"), F.col(text).alias("text"), *row)
     buckets = 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     width = buckets // 4
     schema = "bucket int, " + _SPANS
-    parsed = docs.mapInArrow(_parse(how, buckets), schema)
+    parsed = docs.select("doc_id", "k", "text").mapInArrow(_parse(how, buckets), schema)
     met = checkpoint(parsed.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(how), schema))
-    packed = docs.mapInArrow(_pack, "doc_id long, k long, z binary, n_bytes long")
+    packed = docs.mapInArrow(_pack, "doc_id long, k long, z binary, n_bytes long" + extra)
     inner = met.where("bucket = 1").groupBy("doc_id", "k").agg(F.collect_list("spans").alias("spans"))
-    looked = packed.join(inner, ["doc_id", "k"]).select("doc_id", "k", "z", "n_bytes", "spans").mapInArrow(_phrase_texts(how, buckets), schema)
+    looked = docs.select("doc_id", "k", "text").mapInArrow(_pack, "doc_id long, k long, z binary, n_bytes long").join(inner, ["doc_id", "k"]).select("doc_id", "k", "z", "n_bytes", "spans").mapInArrow(_phrase_texts(how, buckets), schema)
     finer = looked.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_suffixes(how), schema)
     spans = met.where("bucket = 0").select("doc_id", "k", "spans").unionByName(finer.select("doc_id", "k", "spans")).groupBy("doc_id", "k").agg(F.collect_list("spans").alias("all"))
-    out = packed.join(spans, ["doc_id", "k"], "left").mapInArrow(_remove(["doc_id", "k", "n_bytes"]), "doc_id long, k long, n_bytes long, n_removed long, spans array<struct<start:int,`end`:int>>, kept binary")
+    out = packed.join(spans, ["doc_id", "k"], "left").mapInArrow(_remove(["doc_id", "k", "n_bytes"] + ["row"] * carry, carry), f"doc_id long, k long, n_bytes long{extra}, n_removed long, spans array<struct<start:int,`end`:int>>, kept binary" + ", kept_text string" * carry)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
 
 
+def without_repeats(documents: DataFrame, how: Passages = Passages(), text: str = "text") -> DataFrame:
+    """The table with each text's repeated passages removed; a character that is cut goes. n_chars, where there is one, is counted anew."""
+    out = remove_repeats(documents, how, text=text, carry=True)
+    left = F.when(~F.col("row.__null"), F.col("kept_text"))
+    out = out.select("row", left.alias("kept_text"))
+    kind = documents.schema["n_chars"].dataType if "n_chars" in documents.columns else None
+    return out.select(*[F.col("kept_text").alias(c) if c == text else F.length("kept_text").cast(kind).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in documents.columns])
+
+
 def brute_force(rows: list[tuple], length: int = 50) -> list[tuple]:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of (doc_id, text) rows, by a table of all passages."""
     ids = [LAST if d is None else d for d, _ in rows]
