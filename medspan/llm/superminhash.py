@@ -11,9 +11,10 @@ step together in numpy.
    Pairs are confirmed on whole shingle sets; links give components.
 3. Buckets that still hold several components are dealt in blocks, two by two;
    a block pair compares signatures and proposes pairs of different components
-   whose estimate allows a link. These are confirmed too. So work and rows follow
-   the groups' sizes, though no group is ever listed as all its pairs, and every
-   link that a bucket can show between components is found.
+   whose estimate allows a link: in a first round each member's nearest, which
+   join most of a loose group, then all that are left. These are confirmed too.
+   So no group is ever listed as all its pairs, and every link that a bucket can
+   show between components is found.
 
 Defined results: a null text, or one without words, has an empty set and is its
 own component; fewer than five words make one shingle of the whole sequence;
@@ -41,7 +42,8 @@ U = np.uint64
 class NearDup:
     """slots of a signature in bands of rows; percent: least intersection per union;
     width of shingles in words; block: members of a bucket in a block; margin: how far
-    under the threshold an estimate may be (over five standard deviations)."""
+    under the threshold an estimate may be (over five standard deviations); nearest: how many
+    pairs a member proposes in the first of two rounds."""
 
     bands: int = 32
     rows: int = 4
@@ -49,6 +51,7 @@ class NearDup:
     width: int = 5
     block: int = 1024
     margin: float = 0.2
+    nearest: int = 2
 
     @property
     def slots(self) -> int:
@@ -172,28 +175,54 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("u", "label")
 
 
-def _similar(how: NearDup):
-    """Pairs of different components in a pair of blocks whose signatures' estimate allows a link."""
+def _similar(how: NearDup, nearest: int | None):
+    """Pairs of different components in a pair of blocks whose signatures' estimate allows a link.
+
+    With nearest, each member outside the blocks' largest component names so many, its best."""
     need = int(np.floor(how.slots * (how.percent / 100 - how.margin)))
 
     def run(batches):
+        seen: set = set()
         for t in runs(batches, ["key", "i", "j"]):
             ids, comp = t.column("rep").to_numpy(), t.column("component").to_numpy()
             part, i, j = t.column("part").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
             left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+            values, count = np.unique(comp, return_counts=True)
+            most = values[count.argmax()]
             found = []
-            for r in left:
-                other = right[(comp[right] != comp[r]) & ((ids[right] > ids[r]) | (i != j))]
-                if len(other):
-                    near = other[(sig[other] == sig[r]).sum(1) >= need]
-                    found += [(min(ids[r], ids[o]), max(ids[r], ids[o])) for o in near]
-            a, b = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            for mine, others in ((left, right),) if i == j else ((left, right), (right, left)):
+                for r in mine[comp[mine] != most]:  # every pair of components has a side outside the largest
+                    other = others[comp[others] != comp[r]]
+                    same = (sig[other] == sig[r]).sum(1)
+                    near = np.flatnonzero(same >= need)
+                    if nearest and len(near) > nearest:
+                        near = near[np.argsort(-same[near], kind="stable")[:nearest]]
+                    found += [(min(ids[r], o), max(ids[r], o)) for o in ids[other[near]].tolist()]
+            new = [x for x in dict.fromkeys(found) if x not in seen]
+            if len(seen) < 500_000:
+                seen.update(new)
+            a, b = (np.array(x, np.int64) for x in zip(*new, strict=True)) if new else (np.zeros(0, np.int64),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
+def _proposed(members: DataFrame, sigs: DataFrame, comp: DataFrame, how: NearDup, nearest: int | None) -> DataFrame:
+    """Distinct pairs (a, b) that the buckets of several components still propose."""
+    known = members.where("n > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    parts = F.ceil(F.col("n") / how.block).cast("int")
+    dealt = (
+        known.join(mixed, "key", "left_semi").join(sigs, "rep")
+        .withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "component", "sig")
+    )
+    width = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return dealt.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_similar(how, nearest), "a long, b long").distinct()
+
+
 def near_duplicates(documents: DataFrame, how: NearDup = NearDup(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -203,31 +232,24 @@ def near_duplicates(documents: DataFrame, how: NearDup = NearDup(), doc_id: str
     classes = some.groupBy("fp0", "fp1", "n_shingles").agg(F.min("doc_id").alias("rep"))
     chosen = some.groupBy("doc_id", "fp0", "fp1", "n_shingles").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig")).withColumnRenamed("doc_id", "rep")
     reps = chosen.join(classes, ["fp0", "fp1", "n_shingles", "rep"], "left_semi")
-    met = reps.select("rep", "sig", F.explode("keys").alias("key"))
+    met = reps.select("rep", F.explode("keys").alias("key"))
     buckets = met.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = checkpoint(met.join(buckets, "key").select("key", "n", "pivot", "rep", "sig"))
+    members = checkpoint(met.join(buckets, "key").select("key", "n", "pivot", "rep"))
     # 2: pairs with the least of each bucket
-    pairs = checkpoint(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    tried = checkpoint(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+    wanted = checkpoint(members.select(F.col("rep").alias("doc_id")).distinct())
     texts = checkpoint(docs.join(wanted, "doc_id"))
-    links = checkpoint(verified(pairs, texts, how))
+    sigs = checkpoint(reps.select("rep", "sig").join(wanted.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"))
+    links = checkpoint(verified(tried, texts, how))
     comp = components(links)
-    # 3: what buckets of several components still hide
-    known = members.where("n > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    parts = F.ceil(F.col("n") / how.block).cast("int")
-    dealt = (
-        known.join(mixed, "key", "left_semi")
-        .withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "component", "sig")
-    )
-    spark = documents.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    proposed = dealt.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_similar(how), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = checkpoint(verified(proposed, texts, how))
-    if not more.isEmpty():
-        comp = components(links.unionByName(more))
+    # 3: what buckets of several components still hide: first each member's nearest, then whatever is left
+    for nearest in (how.nearest, None):
+        pairs = checkpoint(_proposed(members, sigs, comp, how, nearest).join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        more = checkpoint(verified(pairs, texts, how))
+        tried, links = tried.unionByName(pairs), links.unionByName(more)
+        comp = components(links)
     found = comp.withColumnRenamed("node", "rep")
     of = classes.join(found, "rep", "left").select("fp0", "fp1", "n_shingles", F.coalesce("component", "rep").alias("found"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.least("found", "doc_id"), "doc_id"))
