@@ -108,6 +108,10 @@ def multiply(args, _):
     if t == "Quantity":
         one = lambda q: f"coalesce(({q}).unit, '1') = '1'"
         return E(f"case when {one(a)} or {one(b)} then {quantity(f'try_multiply(({a}).value, ({b}).value)', f'case when {one(a)} then ({b}).unit else ({a}).unit end')} end", t)
+    if t == "Decimal":
+        # operands that fit are taken narrower, so that the product keeps all eight places
+        small = f"abs({a}) < 10000000000 and abs({b}) < 10000000000"
+        return E(f"case when {small} then cast(cast({a} as decimal(18,8)) * cast({b} as decimal(18,8)) as {DECIMAL}) else try_cast(try_multiply({a}, {b}) as {DECIMAL}) end", t)
     return _arith([a, b], "try_multiply", t)
 
 
@@ -540,7 +544,8 @@ def duration(args, precision):
         f = f"datediff({v(b)}, {v(a)})" + (" div 7" if precision == "week" else "")
     else:
         f = f"(({_micros(kind, b)} - {_micros(kind, a)}) div {MICROS[precision]})"
-    return E(f"cast(case when {_least(a, b, LEVEL[precision])} then {f} end as int)", "Integer")
+    needed = min(LEVEL[precision], FULL[kind])  # full dates count finer units from midnight
+    return E(f"cast(case when {_least(a, b, needed)} then {f} end as int)", "Integer")
 
 
 _STEPS = {"year": ("years", "a"), "month": ("months", "mo"), "week": ("weeks", "wk"), "day": ("days", "d"), "hour": ("hours", "h"), "minute": ("minutes", "min"), "second": ("seconds", "s"), "millisecond": ("milliseconds", "ms")}
@@ -1101,7 +1106,8 @@ def to_string(args, _):
     if t == "Decimal":
         return E(plain_decimal(a.sql), "String")
     if t == "Quantity":
-        return E(f"concat({plain_decimal(f'({a}).value')}, case when coalesce(({a}).unit, '1') = '1' then ' \\'1\\'' else concat(' \\'', ({a}).unit, '\\'') end)", "String")
+        value = plain_decimal(f"({a}).value")
+        return E(f"concat(regexp_replace({value}, '\\\\.0$', ''), case when coalesce(({a}).unit, '1') = '1' then ' \\'1\\'' else concat(' \\'', ({a}).unit, '\\'') end)", "String")
     if t == "Ratio":
         return E(f"concat({to_string([part(a, 'numerator')], None)}, ':', {to_string([part(a, 'denominator')], None)})", "String")
     if isinstance(t, str) and base(t) in TEMPORAL:

@@ -108,6 +108,22 @@ class Compiler:
         codes = ", ".join(str(self.expr(x, scope)) for x in tree[1])
         return E(f"named_struct('codes', array({codes}), 'display', {c.text(tree[2]) if tree[2] else 'cast(null as string)'})", "Concept")
 
+    def x_instance(self, tree, scope):
+        """Type { field: value, ... } of a structured system type."""
+        _, kind, fields = tree
+        given = {n: self.expr(x, scope) for n, x in fields}
+        names = {"Code": ("code", "system", "version", "display"), "Quantity": ("value", "unit"), "Concept": ("codes", "display"), "Ratio": ("numerator", "denominator")}.get(kind)
+        if names is None or set(given) - set(names):
+            raise TypeFault(f"no instance of {kind} with {sorted(given)}")
+        parts = []
+        for n in names:
+            t = part(E("x", kind), n).t
+            e = given.get(n, null())
+            if is_list(t) and not is_list(e.t) and e.t != "Any":
+                e = lib.call("ToList", [e])
+            parts.append(f"{c.text(n)}, {coerce(e, t)}")
+        return E(f"named_struct({', '.join(parts)})", kind)
+
     def x_paren(self, tree, scope):
         return self.expr(tree[1], scope)
 
@@ -227,6 +243,10 @@ class Compiler:
             return inner.apply(name, [self.expr(a, scope) for a in args[1:]], scope, precision)
         if name == "Negate" and args[0] == ("literal", "Integer", "2147483648"):
             return E("cast(-2147483648 as int)", "Integer")
+        if name == "Negate" and args[0] == ("literal", "Long", "9223372036854775808"):
+            return lib.extreme("Long", False)
+        if name == "Precision" and args[0][:2] == ("literal", "Decimal"):
+            return E(str(len(args[0][2].partition(".")[2])), "Integer")
         if name == "Message":
             return self.message([self.expr(a, scope) for a in args])
         return self.apply(name, [self.expr(a, scope) for a in args], scope, precision)
@@ -253,7 +273,7 @@ class Compiler:
             if not at:
                 args = [args[0], lib.call("Today" if base(args[0].t) == "Date" else "Now", [], None, self)]
             return lib.call("CalculateAgeAt", args, precision)
-        if name in ("In", "IncludedIn") and len(args) == 2 and args[1].t == ("List", "Code") and (args[0].t in ("Code", "Concept", "String") or args[0].t in (("List", "Code"), ("List", "Concept"))):
+        if name in ("In", "IncludedIn") and len(args) == 2 and args[1].t == ("List", "Code") and (args[0].t in ("Code", "Concept", "String") or args[0].t in (("List", "Code"), ("List", "Concept"), ("List", "String"))):
             return lib.call("InValueSet", args, None, self)
         if name == "Minimum":
             name = "MinValue"

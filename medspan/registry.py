@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from medspan.plans import measures, row_queries
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Patients with an encounter during which a medication was dated."""
+    return measures.queries()["measure_with_during"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return measures.queries() | row_queries.queries()
 
 
 def oracle_sql() -> dict:
-    return {}
+    return measures.oracle_sql() | row_queries.oracle_sql()
