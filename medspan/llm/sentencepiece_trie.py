@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding with forward states shared over word prefixes.
 
 Texts are cut into marked words (a run of word markers with what follows up to
-the next marker; a line break stands alone unless a piece holds one). The distinct
-words of a batch are sorted, so that they lie in trie order, and visited depth
+the next marker; a line break stands alone unless a piece holds one), and these into
+segments between characters that no piece has side by side. The distinct
+segments of a batch are sorted, so that they lie in trie order, and visited depth
 first: each keeps the forward states of its prefixes on a stack, and the next word
 resumes after the common prefix.
 
@@ -183,6 +184,19 @@ class Encoder:
         self.worst = min((s for s, k in zip(model.scores, model.kinds, strict=True) if k == _NORMAL), default=0.0) - 10.0
         alone = "\n" if not any("\n" in p for p in model.ids) else MARK
         self.cut = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+|{alone}")
+        #: neighbours that some piece has within: merging can't cross any others
+        self.joined = {p[i : i + 2] for p in model.ids for i in range(len(p) - 1)}
+        self.segments: dict[str, tuple[int, ...]] = {}
+
+    def split(self, word: str) -> list[str]:
+        """A word's segments, cut where no piece has both neighbours."""
+        joined, out, start = self.joined, [], 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in joined:
+                out.append(word[start:i])
+                start = i
+        out.append(word[start:])
+        return out
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the two pieces' text gives the two pieces again."""
@@ -205,7 +219,21 @@ class Encoder:
         return known
 
     def learn(self, words) -> None:
-        """Encodes words in trie order, depth first."""
+        """Encodes words: their new segments first, together."""
+        parts = {w: self.split(w) for w in words}
+        known = self.segments
+        self._visit({s for segments in parts.values() for s in segments if s not in known})
+        for w, segments in parts.items():
+            before = len(self.flat)
+            for s in segments:
+                for k in known[s]:
+                    if k != self.model.unknown or len(self.flat) == before or self.flat[-1] != k:
+                        self.flat.append(k)
+            self.words[w] = len(self.starts) - 1
+            self.starts.append(len(self.flat))
+
+    def _visit(self, words) -> None:
+        """Encodes segments in trie order, depth first."""
         model, ids = self.model, self.model.ids
         unigram, tails = model.kind == UNIGRAM, model.tails
         single = np.float32  # the model's own sums are in single precision, and ties go to the longer last piece
@@ -256,22 +284,23 @@ class Encoder:
             self._add(word, [k for k, _, _ in found], [word[a:b] for _, a, b in found])
 
     def _add(self, word: str, ids: list[int], parts: list[str]) -> None:
-        model = self.model
+        model, out = self.model, []
         for k, p in zip(ids, parts, strict=True):
             if k >= 0:
-                self.flat.append(k)
+                out.append(k)
             elif model.byte_fallback:
-                self.flat.extend(model.bytes_at[b] for b in p.encode("utf-8", "replace"))
-            elif not self.flat[self.starts[-1] :] or self.flat[-1] != model.unknown:
-                self.flat.append(model.unknown)
-        self.words[word] = len(self.starts) - 1
-        self.starts.append(len(self.flat))
+                out.extend(model.bytes_at[b] for b in p.encode("utf-8", "replace"))
+            else:
+                out.append(model.unknown)
+        self.segments[word] = tuple(out)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(pieces of all texts, offsets of the texts)."""
         if len(self.words) > self.KEEP:
             self.words.clear()
             self.flat, self.starts = [], [0]
+        if len(self.segments) > self.KEEP:
+            self.segments.clear()
         model = self.model
         cut, prefix = self.cut.findall, MARK if model.dummy_prefix else ""
         per_text = []
