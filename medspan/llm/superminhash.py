@@ -10,11 +10,10 @@ step together in numpy.
 2. Representatives meet by band; each is paired with the least id of its bucket.
    Pairs are confirmed on whole shingle sets; links give components.
 3. Buckets that still hold several components are dealt in blocks, two by two;
-   a block pair compares signatures and proposes pairs of different components
-   whose estimate allows a link: in a first round each member's nearest, which
-   join most of a loose group, then all that are left. These are confirmed too.
-   So no group is ever listed as all its pairs, and every link that a bucket can
-   show between components is found.
+   a block pair compares signatures, and confirms pairs of different components
+   whose estimate allows a link on their whole sets, nearest first, until their
+   components have met. So no group is ever listed as all its pairs, and every
+   link between components that a bucket can show is found.
 
 Defined results: a null text, or one without words, has an empty set and is its
 own component; fewer than five words make one shingle of the whole sequence;
@@ -42,8 +41,7 @@ U = np.uint64
 class NearDup:
     """slots of a signature in bands of rows; percent: least intersection per union;
     width of shingles in words; block: members of a bucket in a block; margin: how far
-    under the threshold an estimate may be (over five standard deviations); nearest: how many
-    pairs a member proposes in the first of two rounds."""
+    under the threshold an estimate may be (over five standard deviations)."""
 
     bands: int = 32
     rows: int = 4
@@ -51,7 +49,6 @@ class NearDup:
     width: int = 5
     block: int = 1024
     margin: float = 0.2
-    nearest: int = 2
 
     @property
     def slots(self) -> int:
@@ -152,9 +149,7 @@ def verified(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
                 parts = [values[first[k] : first[k + 1]] for k in range(len(number))]
                 for r in range(i, j):
                     x, y = parts[number[texts[0][r]]], parts[number[texts[1][r]]]
-                    if min(len(x), len(y)) * 100 >= how.percent * max(len(x), len(y)) and len(x):
-                        shared = len(np.intersect1d(x, y, assume_unique=True))
-                        ok[r] = 100 * shared >= how.percent * (len(x) + len(y) - shared)
+                    ok[r] = linked(x, y, how.percent)
             yield pa.RecordBatch.from_arrays([pa.array(ids[0], pa.int64()), pa.array(ids[1], pa.int64())], ["a", "b"]).filter(pa.array(ok))
 
     return both.mapInArrow(run, "a long, b long").distinct()
@@ -175,18 +170,32 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("u", "label")
 
 
-def _similar(how: NearDup, nearest: int | None):
-    """Pairs of different components in a pair of blocks whose signatures' estimate allows a link.
+def _shingle_sets(how: NearDup):
+    """doc_id and its set as bytes."""
 
-    With nearest, each member outside the blocks' largest component names so many, its best."""
+    def run(batches):
+        for batch in batches:
+            parts = T.encode(batch.column(1).cast(pa.binary()).to_pylist())
+            for i, j in T.blocks(parts, 4 << 20):
+                values, first = sets(parts[i:j], how.width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["rep", "shingles"])
+
+    return run
+
+
+def _join_components(how: NearDup):
+    """Links between components that a pair of blocks shows: estimates choose and order the pairs, whole sets confirm them.
+
+    A pair is looked at only in the first band that both share, and no more once its components have met here."""
     need = int(np.floor(how.slots * (how.percent / 100 - how.margin)))
 
     def run(batches):
-        seen: set = set()
         for t in runs(batches, ["key", "i", "j"]):
-            ids, comp = t.column("rep").to_numpy(), t.column("component").to_numpy()
-            part, i, j = t.column("part").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            ids, comp, part = (t.column(c).to_numpy() for c in ("rep", "component", "part"))
+            i, j, key = (t.column(c)[0].as_py() for c in ("i", "j", "key"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+            keys = np.array(t.column("keys").to_pylist(), np.int64).reshape(len(ids), -1)
+            band = int((keys[0] == key).argmax())
             left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
             values, count = np.unique(comp, return_counts=True)
             most = values[count.argmax()]
@@ -195,32 +204,57 @@ def _similar(how: NearDup, nearest: int | None):
                 for r in mine[comp[mine] != most]:  # every pair of components has a side outside the largest
                     other = others[comp[others] != comp[r]]
                     same = (sig[other] == sig[r]).sum(1)
-                    near = np.flatnonzero(same >= need)
-                    if nearest and len(near) > nearest:
-                        near = near[np.argsort(-same[near], kind="stable")[:nearest]]
-                    found += [(min(ids[r], o), max(ids[r], o)) for o in ids[other[near]].tolist()]
-            new = [x for x in dict.fromkeys(found) if x not in seen]
-            if len(seen) < 500_000:
-                seen.update(new)
-            a, b = (np.array(x, np.int64) for x in zip(*new, strict=True)) if new else (np.zeros(0, np.int64),) * 2
+                    near = same >= need
+                    other, same = other[near], same[near]
+                    here = (keys[other] == keys[r]).argmax(1) == band
+                    found += zip((-same[here]).tolist(), [int(r)] * int(here.sum()), other[here].tolist(), strict=True)
+            met = {int(c): int(c) for c in values}
+
+            def find(x):
+                while met[x] != x:  # noqa: B023
+                    met[x] = x = met[met[x]]  # noqa: B023
+                return x
+
+            blobs, links = t.column("shingles"), []
+            for _, r, o in sorted(found):
+                a, b = find(int(comp[r])), find(int(comp[o]))
+                if a != b:
+                    x, y = (np.frombuffer(blobs[k].as_py(), np.uint64) for k in (r, o))
+                    if linked(x, y, how.percent):
+                        met[max(a, b)] = min(a, b)
+                        links.append((int(ids[r]), int(ids[o])))
+            a, b = (np.array(x, np.int64) for x in zip(*links, strict=True)) if links else (np.zeros(0, np.int64),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
-def _proposed(members: DataFrame, sigs: DataFrame, comp: DataFrame, how: NearDup, nearest: int | None) -> DataFrame:
-    """Distinct pairs (a, b) that the buckets of several components still propose."""
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets of sorted distinct values are similar enough."""
+    if not len(x) or not len(y) or min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
+def _hidden_links(members: DataFrame, described: DataFrame, texts: DataFrame, comp: DataFrame, how: NearDup) -> DataFrame:
+    """Links (a, b) that the buckets of several components still hold."""
     known = members.where("n > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    known = checkpoint(known.join(mixed, "key", "left_semi"))
+    wanted = known.select("rep").distinct()
+    facts = described.join(wanted, "rep").join(texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_shingle_sets(how), "rep long, shingles binary").dropDuplicates(["rep"]), "rep")
     parts = F.ceil(F.col("n") / how.block).cast("int")
     dealt = (
-        known.join(mixed, "key", "left_semi").join(sigs, "rep")
-        .withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+        known.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "component", "sig")
+        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "component")
+        .join(checkpoint(facts), "rep")
     )
     width = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return dealt.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_similar(how, nearest), "a long, b long").distinct()
+    return dealt.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_join_components(how), "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, how: NearDup = NearDup(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,17 +273,13 @@ def near_duplicates(documents: DataFrame, how: NearDup = NearDup(), doc_id: str
     tried = checkpoint(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
     wanted = checkpoint(members.select(F.col("rep").alias("doc_id")).distinct())
     texts = checkpoint(docs.join(wanted, "doc_id"))
-    sigs = checkpoint(reps.select("rep", "sig").join(wanted.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"))
     links = checkpoint(verified(tried, texts, how))
     comp = components(links)
-    # 3: what buckets of several components still hide: first each member's nearest, then whatever is left
-    for nearest in (how.nearest, None):
-        pairs = checkpoint(_proposed(members, sigs, comp, how, nearest).join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        more = checkpoint(verified(pairs, texts, how))
-        tried, links = tried.unionByName(pairs), links.unionByName(more)
-        comp = components(links)
+    # 3: what buckets of several components still hold
+    facts = reps.select("rep", "sig", "keys")
+    more = checkpoint(_hidden_links(members, facts, texts, comp, how))
+    if not more.isEmpty():
+        comp = components(links.unionByName(more))
     found = comp.withColumnRenamed("node", "rep")
     of = classes.join(found, "rep", "left").select("fp0", "fp1", "n_shingles", F.coalesce("component", "rep").alias("found"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.least("found", "doc_id"), "doc_id"))
