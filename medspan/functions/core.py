@@ -140,6 +140,8 @@ def parse_temporal(kind: str, value: str) -> E:
     if offset:
         at -= dt.timedelta(minutes=offset)
     n = len(fields) + len(h)
+    if n == 7 and offset is None:
+        return E(f"TIMESTAMP'{at.isoformat(sep=' ', timespec='milliseconds')}Z'", "DateTime!")
     return temporal("DateTime", f"TIMESTAMP'{at.isoformat(sep=' ', timespec='milliseconds')}Z'", n, str(offset) if offset is not None else "cast(null as int)")
 
 

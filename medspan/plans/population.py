@@ -19,7 +19,7 @@ from medspan.functions import library as lib
 from medspan.functions.core import E, TypeFault, base, coerce, is_interval, is_list, part
 from medspan.operators import rows as row_ops
 from medspan.plans.compiler import Compiler, Library
-from medspan.sources.model import Model
+from medspan.sources.model import Model, field_columns, field_value, source_of
 
 
 @dataclass
@@ -51,7 +51,7 @@ class Population(Compiler):
         key = self.model.resources[self.model.context].fields[self.model.key][0]
         prefix = "Patient"
         base_ = self.model.resources[self.model.context]
-        self.spine = base_.frame.selectExpr(f"{key} as ctx", *[f"{e} as `{prefix}__{n}`" for n, (e, _) in base_.fields.items()])
+        self.spine = base_.frame.selectExpr(f"{key} as ctx", *[x for n, (e, _) in base_.fields.items() for x in field_columns(f"{prefix}__{n}", e)])
         self.attached = {}
         scope = {prefix: self.model.scope(self.model.context, prefix), "$context": self.model.scope(self.model.context, prefix)}
         out = []
@@ -123,7 +123,7 @@ class Population(Compiler):
         if r is None:
             raise TypeFault(f"no resource type {kind}")
         df = self.model.rows(kind, direct)
-        item = E(kind, ("Row", tuple((n, E(f"`{n}`", t)) for n, (_, t) in r.fields.items())))
+        item = E(kind, ("Row", tuple((n, field_value(n, e, t)) for n, (e, t) in r.fields.items())))
         if terms:
             df = self.coded(df, r, path or r.code, terms, scope)
         return Rows(df, item, kind=kind)
@@ -162,8 +162,8 @@ class Population(Compiler):
     def aliased(self, rows: Rows, alias: str) -> tuple[DataFrame, E]:
         """Rows with columns of their own names under an alias."""
         if isinstance(rows.item.t, tuple) and rows.item.t[0] == "Row":
-            columns = [f"{e} as `{alias}__{n}`" for n, e in rows.item.t[1]]
-            item = E(alias, ("Row", tuple((n, E(f"`{alias}__{n}`", e.t, e.p)) for n, e in rows.item.t[1])))
+            columns = [x for n, e in rows.item.t[1] for x in field_columns(f"{alias}__{n}", source_of(e))]
+            item = E(alias, ("Row", tuple((n, field_value(f"{alias}__{n}", source_of(e), e.t)) for n, e in rows.item.t[1])))
         else:
             columns = [f"{rows.item} as `{alias}__value`"]
             item = E(f"`{alias}__value`", rows.item.t, rows.item.p)
@@ -228,7 +228,7 @@ class Population(Compiler):
         if "Age" not in text and "'Patient'" not in text:
             return df, inner
         r = self.model.resources[self.model.context]
-        own = r.frame.selectExpr(f"{r.fields[self.model.key][0]} as ctx", *[f"{e} as `Patient__{n}`" for n, (e, _) in r.fields.items()])
+        own = r.frame.selectExpr(f"{r.fields[self.model.key][0]} as ctx", *[x for n, (e, _) in r.fields.items() for x in field_columns(f"Patient__{n}", e)])
         return df.join(own, "ctx"), inner
 
     def quietly(self, tree, scope) -> E:
@@ -340,8 +340,8 @@ class Population(Compiler):
     def plain(self, rows: Rows) -> Rows:
         """Rows with only their own columns."""
         if isinstance(rows.item.t, tuple) and rows.item.t[0] == "Row":
-            df = rows.df.selectExpr("ctx", *[f"{e} as `{n}`" for n, e in rows.item.t[1]])
-            return Rows(df, E(rows.item.sql, ("Row", tuple((n, E(f"`{n}`", e.t, e.p)) for n, e in rows.item.t[1]))), kind=rows.kind)
+            df = rows.df.selectExpr("ctx", *[x for n, e in rows.item.t[1] for x in field_columns(n, source_of(e))])
+            return Rows(df, E(rows.item.sql, ("Row", tuple((n, field_value(n, source_of(e), e.t)) for n, e in rows.item.t[1]))), kind=rows.kind)
         return Rows(rows.df.selectExpr("ctx", f"{rows.item} as value"), E("value", rows.item.t, rows.item.p), kind=rows.kind)
 
     def keys(self, rows: Rows) -> list[tuple[str, bool]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -9,9 +10,33 @@ from pyspark.sql import DataFrame
 from medspan.functions.core import E
 
 
+_PAIR = re.compile(r"named_struct\('low', `([^`]+)`, 'high', `([^`]+)`, 'lc', true, 'hc', true\)")
+
+
+def field_columns(name: str, sql) -> list[str]:
+    """Select items that give a field a name."""
+    if isinstance(sql, tuple):
+        return [f"{sql[0]} as `{name}__low`", f"{sql[1]} as `{name}__high`"]
+    return [f"{sql} as `{name}`"]
+
+
+def field_value(name: str, sql, t) -> E:
+    """The field as an expression over those columns."""
+    if isinstance(sql, tuple):
+        return E(f"named_struct('low', `{name}__low`, 'high', `{name}__high`, 'lc', true, 'hc', true)", t)
+    return E(f"`{name}`", t)
+
+
+def source_of(e: E):
+    """The SQL of an expression as field_columns takes it."""
+    pair = _PAIR.fullmatch(e.sql)
+    return (f"`{pair[1]}`", f"`{pair[2]}`") if pair else e.sql
+
+
 @dataclass
 class Resource:
-    """frame: the rows. fields: name to (SQL over the frame, type). context: SQL of the
+    """frame: the rows. fields: name to (SQL over the frame, type); a closed interval whose
+    bounds are never null may be given as (low, high), and then stays two plain columns. context: SQL of the
     context's id, or null for types that reach it through another: (field, parent type,
     parent's field). code: the primary code path."""
 
@@ -37,15 +62,15 @@ class Model:
         r = self.resources[kind]
         frame = r.frame
         if r.context or direct:
-            return frame.selectExpr(*([f"{r.context} as ctx"] if r.context and not direct else []), *[f"{e} as `{n}`" for n, (e, _) in r.fields.items()])
+            return frame.selectExpr(*([f"{r.context} as ctx"] if r.context and not direct else []), *[x for n, (e, _) in r.fields.items() for x in field_columns(n, e)])
         of, parent, at = r.through
         up = self.rows(parent).selectExpr("ctx", f"`{at}` as __up")
-        own = frame.selectExpr(*[f"{e} as `{n}`" for n, (e, _) in r.fields.items()])
+        own = frame.selectExpr(*[x for n, (e, _) in r.fields.items() for x in field_columns(n, e)])
         return own.join(up, own[of] == up["__up"]).drop("__up")
 
     def scope(self, kind: str, prefix: str) -> E:
         """A row of a type whose fields are columns with a prefix."""
-        return E(prefix, ("Row", tuple((n, E(f"`{prefix}__{n}`", t)) for n, (_, t) in self.resources[kind].fields.items())))
+        return E(prefix, ("Row", tuple((n, field_value(f"{prefix}__{n}", e, t)) for n, (e, t) in self.resources[kind].fields.items())))
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:

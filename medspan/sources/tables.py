@@ -41,8 +41,8 @@ def scope(table: str) -> dict[str, E]:
 def clinical(spark: SparkSession, sf_dir: str, value_sets=None) -> Model:
     """Patients are customers, encounters orders of 90 days, medication requests lines, observations events."""
     t = {n: read(spark, sf_dir, n) for n in ("customer", "orders", "lineitem", "events")}
-    period = f"named_struct('low', {stamp('o_orderdate')}, 'high', {stamp('o_orderdate')} + interval '90' day, 'lc', true, 'hc', true)"
-    span = f"named_struct('low', {stamp('ts')}, 'high', {stamp('ts')} + interval '2' hour, 'lc', true, 'hc', true)"
+    period = stamp("o_orderdate"), f"{stamp('o_orderdate')} + interval '90' day"
+    span = stamp("ts"), f"{stamp('ts')} + interval '2' hour"
     return Model(
         {
             "Patient": Resource(t["customer"], {"id": ("c_custkey", "Long"), "name": ("c_name", "String"), "nation": ("c_nationkey", "Integer"), "balance": (dec("c_acctbal"), "Decimal"), "segment": ("c_mktsegment", "String"), "birthDate": ("date_add(DATE'1940-02-29', cast(c_custkey % 20000 as int))", "Date!")}, "c_custkey", code="segment"),
