@@ -23,6 +23,7 @@ LEAST_SCORE = 0.4
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a language, or with none that most words agree on."""
+    _spark.bounded_batches(spark)
     texts, langs = lang_crf.training_sample(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     return lang_crf.identify_languages(docs, lang_crf.fit(texts, langs), least=LEAST_SCORE)
 

@@ -44,3 +44,10 @@ def shared_folder(spark) -> str:
     """A new folder beside the checkpoints, which all executors see."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
     return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+def bounded_batches(spark, rows: int = 2000) -> None:
+    """Fewer rows in an Arrow batch than Spark's default, so that a batch of long texts stays small beside an executor's other memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows or int(spark.conf.get(key, "10000")) <= 0:
+        spark.conf.set(key, str(rows))

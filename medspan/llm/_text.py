@@ -43,17 +43,21 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Powers:
-    """Power tables that grow on demand and are kept for a worker's life."""
+    """Power tables; those of up to KEEP entries stay for a worker's life, larger ones only while they are used."""
 
+    KEEP = 5 << 19
     up = np.ones(1, np.uint64)
     down = np.ones(1, np.uint64)
 
     @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, 1 << 20)
-            cls.up, cls.down = powers(BASE, size), powers(INVERSE, size)
-        return cls.up, cls.down
+    def get(cls, n: int, which: str) -> np.ndarray:
+        kept = getattr(cls, which)
+        if len(kept) >= n:
+            return kept
+        made = powers(BASE if which == "up" else INVERSE, n if n > cls.KEEP else cls.KEEP)
+        if n <= cls.KEEP:
+            setattr(cls, which, made)
+        return made
 
 
 def encode(texts) -> list[bytes]:
@@ -83,7 +87,7 @@ def blocks(parts: list[bytes], limit: int):
 
 def prefix_hash(buffer: np.ndarray) -> np.ndarray:
     """h with hash(a, b) = (h[b] - h[a]) * INVERSE**a."""
-    up, _ = Powers.get(len(buffer) + 1)
+    up = Powers.get(len(buffer) + 1, "up")
     h = np.zeros(len(buffer) + 1, np.uint64)
     np.cumsum(BYTE_VALUE[buffer] * up[: len(buffer)], out=h[1:])
     return h
@@ -91,7 +95,7 @@ def prefix_hash(buffer: np.ndarray) -> np.ndarray:
 
 def span_hash(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Unmixed hashes of the byte spans [a, b)."""
-    _, down = Powers.get(len(h))
+    down = Powers.get(len(h), "down")
     return (h[b] - h[a]) * down[a]
 
 

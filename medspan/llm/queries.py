@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medspan.llm import chat_render, decontaminate, html_density, lang_crf, media_jpeg, quality_ftrl, sentencepiece_trie, suffix_dedup, superminhash, url_reputation
+from medspan.llm._spark import bounded_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

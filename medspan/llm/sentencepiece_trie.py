@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -173,13 +174,12 @@ def merge(word: str, ids: dict[str, int], scores: list[float], over: float = flo
 class Encoder:
     """Encodes words, with states kept over calls in tables of bounded size."""
 
-    KEEP = 300_000
+    KEEP, KEEP_PAIRS = 200_000, 400_000
 
     def __init__(self, model: Model):
         self.model = model
         self.words: dict[str, int] = {}
-        self.flat: list[int] = []
-        self.starts: list[int] = [0]
+        self.flat, self.starts = array("i"), array("q", [0])
         self.pairs: dict[int, bool] = {}
         self.worst = min((s for s, k in zip(model.scores, model.kinds, strict=True) if k == _NORMAL), default=0.0) - 10.0
         alone = "\n" if not any("\n" in p for p in model.ids) else MARK
@@ -213,7 +213,7 @@ class Encoder:
                         break
                 if not known:
                     break
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > self.KEEP_PAIRS:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
@@ -298,7 +298,7 @@ class Encoder:
         """(pieces of all texts, offsets of the texts)."""
         if len(self.words) > self.KEEP:
             self.words.clear()
-            self.flat, self.starts = [], [0]
+            self.flat, self.starts = array("i"), array("q", [0])
         if len(self.segments) > self.KEEP:
             self.segments.clear()
         model = self.model
@@ -316,12 +316,12 @@ class Encoder:
         get = self.words.__getitem__
         sizes = np.fromiter(map(len, per_text), np.int64, len(per_text))
         which = np.fromiter((get(w) for ws in per_text for w in ws), np.int64, int(sizes.sum()))
-        starts = np.array(self.starts, np.int64)
+        starts, flat = np.array(self.starts, np.int64), np.array(self.flat, np.int32)
         length = starts[which + 1] - starts[which]
         ends = np.cumsum(length)
         at = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - length, length) + np.repeat(starts[which], length)
         total = np.concatenate([[0], ends])
-        return np.array(self.flat, np.int32)[at] if len(at) else np.zeros(0, np.int32), total[np.concatenate([[0], np.cumsum(sizes)])]
+        return flat[at] if len(at) else np.zeros(0, np.int32), total[np.concatenate([[0], np.cumsum(sizes)])]
 
 
 class Decoder:

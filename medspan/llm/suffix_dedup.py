@@ -50,7 +50,7 @@ class Passages:
 
     length: int = 50
     gram: int = 16
-    gather: int = 16 << 20
+    gather: int = 8 << 20
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
