@@ -46,35 +46,36 @@ CLOSES = {
 _CLOSE_P = BLOCK - {"br", "body", "html"} - {"dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "summary", "figcaption"} | {"li", "dd", "dt"}
 _SCOPE = frozenset("html body table td th caption button object".split())
 _WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|side-bar|footer|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay|subscribe|newsletter|signup|login|share|sharing|social|related|recommend\w*|comments?|comment-\w+|disqus|respond|reply|replies|discussion|widget|toolbar|pagination|pager|skip|copyright|legal|disclaimer|alert)(?:$|[\s_-])", re.I
+    r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|block|wrap|container)\w*|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|\w{0,6}nav|nav(?:bar|igation|links?|menu)|\w{0,6}menu\w*|breadcrumbs?|side-?bars?|\w{0,6}footer|masthead|cookie\w*|consent|gdpr|notices?|popups?|modal|overlay|subscribe|newsletter|signup|login|share|sharing|social|related|recommend\w*|comment\w*|disqus|respond|reply|replies|discussion|widgets?|toolbar|pagination|pager|skip|copyright|legal|disclaimer|alert)(?:$|[\s_-])", re.I
 )
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|page-header|site-header|topbar|top-bar)(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "never", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "never", "soft", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, never: bool):
-        self.tag, self.parent, self.children, self.never = tag, parent, [], never
+    def __init__(self, tag: str, parent: Node | None, never: int):
+        self.tag, self.parent, self.children, self.never, self.soft = tag, parent, [], bool(never), never == 2
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _never(tag: str, attributes: str, inside: frozenset | set) -> bool:
+def _never(tag: str, attributes: str, inside: bool) -> int:
+    """0 for an element that can be content, 1 for one that never is, 2 for one whose names say so."""
     if tag in NEVER or tag == "header" and not inside:
-        return True
+        return 1
     if not attributes.strip(" /\t\n\r"):
-        return False
+        return 0
     got = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in got or got.get("aria-hidden", "").lower() == "true" or got.get("role", "").lower() in _ROLES:
-        return True
+        return 1
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", got.get("style", ""), re.I):
-        return True
+        return 1
     if tag in ("html", "body", "article", "main"):
-        return tag == "article" and bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", f"{got.get('class', '')} {got.get('id', '')}", re.I))
+        return int(tag == "article" and bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", f"{got.get('class', '')} {got.get('id', '')}", re.I)))
     names = (got.get("class", ""), got.get("id", ""))
-    return any(n and (_WORDS.search(n) or not inside and _HEADER.search(n)) for n in names)
+    return 2 if any(n and (_WORDS.search(n) or not inside and _HEADER.search(n)) for n in names) else 0
 
 
 def parse(page: str) -> Node:
@@ -137,6 +138,12 @@ def parse(page: str) -> Node:
         inside = _open_any(current)
         node = Node(tag, current, _never(tag, m[3], inside))
         current.children.append(node)
+        if tag in ("article", "main") and not node.never:  # what holds it is a frame of the page, whatever its names say
+            up = current
+            while up is not None:
+                if up.soft:
+                    up.never = False
+                up = up.parent
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
         if tag in RAW:
@@ -219,6 +226,11 @@ def core(root: Node) -> Node | None:
     marked = [n for n in path if n.tag in ("article", "main")]
     if marked:
         return marked[-1]
+    articles = [n for n in nodes if n.tag in ("article", "main")]
+    if articles:  # the page's own mark counts, unless it holds little
+        largest = max(articles, key=lambda n: n.chars)
+        if largest.chars * 3 >= best.chars:
+            return largest
     threshold = min(n.density for n in path)
     chosen = best
     for node in path[1:]:
@@ -263,10 +275,25 @@ def main_text(page: str | None) -> str:
     """Main text of one page."""
     if not page:
         return ""
-    node = core(parse(page))
+    root = parse(page)
+    node = core(root)
+    if node is None and _soften(root):
+        node = core(root)
     return text_of(node) if node is not None else ""
 
 
+def _soften(root: Node) -> bool:
+    """Takes elements back in that only their names exclude; whether there were any."""
+    stack, any_ = [root], False
+    while stack:
+        node = stack.pop()
+        if node.soft and node.never:
+            node.never, any_ = False, True
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        stack.extend(x for x in node.children if not isinstance(x, str))
+    return any_
+
+
 def extract_text(pages: DataFrame, html: str = "html", keep: tuple = ("page_id", "url")) -> DataFrame:
     """The columns keep, text and n_chars (code points) of each page."""
     rows = pages.select(F.col(html).alias("__html"), *[F.col(c) for c in keep])

@@ -457,6 +457,12 @@ def test_density_alone_finds_the_article():
     assert html_density.main_text(f"<body><div>{links}</div><div>{ARTICLE}</div></body>") == TEXT
 
 
+def test_names_of_frames_exclude_no_article():
+    assert html_density.main_text(f"<body><div id=page class='with sidebar'><div class=sidebar>side</div><article>{ARTICLE}</article></div>") == TEXT
+    assert html_density.main_text("<body><div class=widget><p>all there is</p></div>") == "all there is"
+    assert html_density.main_text(f"<body><article>{ARTICLE}</article><div>{'dense words all over ' * 12}</div>") == TEXT
+
+
 def test_pages_frame(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>x"), (3, "u", "<p>x"), (4, "u", "<" * 500 + "a"), (5, "u", "<div>" * 20000 + "deep" + "</div>" * 7), (6, "u", "plain &lt;text&gt;")], "page_id long, url string, html string")
     got = [(r.page_id, r.text, r.n_chars) for r in html_density.extract_text(pages).collect()]
