@@ -130,7 +130,7 @@ def _parse(how: Passages, buckets: int):
         np.minimum.at(least, which, ids[doc])
         again = ids[doc] > least[which]
         d, k, n, spans = _span_rows(ids, keys, doc[again], start[again], (start + passages + how.length - 1)[again])
-        yield _batch(np.abs(k) % buckets, d, k, n, spans)
+        yield _batch(((d ^ k) & LAST) % buckets, d, k, n, spans)  # by document too: copies share k
         doc, start, passages, trigger, digest = (x[~again] for x in (doc, start, passages, trigger, digest))
         bucket = (trigger % U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
