@@ -1187,6 +1187,25 @@ def to_quantity(args, _):
     return E(f"case when {n} is not null then {quantity(n, f'coalesce({quoted}, {word}, {text(str(1))})')} end", "Quantity")
 
 
+@op("ToRatio")
+def to_ratio(args, _):
+    """Two quantities with a colon between."""
+    if args[0].t == "Ratio":
+        return args[0]
+    a = coerce(args[0], "String")
+    one, two = (to_quantity([E(f"trim(split_part({a}, ':', {k}))", "String")], None) for k in (1, 2))
+    return E(f"case when {one} is not null and {two} is not null then named_struct('numerator', {one}, 'denominator', {two}) end", "Ratio")
+
+
+@op("ToChars")
+def to_chars(args, _):
+    a = coerce(args[0], "String")
+    return E(f"case when {a} = '' then cast(array() as array<string>) else transform(sequence(1, length({a})), i -> substring({a}, i, 1)) end", ("List", "String"))
+
+
+OPS["TimezoneFrom"] = OPS["TimezoneOffsetFrom"]
+
+
 @op("ToConcept")
 def to_concept(args, _):
     a = args[0]
@@ -1213,7 +1232,7 @@ def can_convert_quantity(args, _):
     return boolean(f"case when {args[0]} is not null and {args[1]} is not null then {convert_quantity(args, None)} is not null end")
 
 
-for _t in ("Boolean", "Integer", "Long", "Decimal", "String", "Date", "DateTime", "Time", "Quantity"):
+for _t in ("Boolean", "Integer", "Long", "Decimal", "String", "Date", "DateTime", "Time", "Quantity", "Ratio"):
     OPS["ConvertsTo" + _t] = lambda args, _, f="To" + _t: boolean(f"case when {args[0]} is not null then {OPS[f](args, None)} is not null end")
 for _name in (
     "BooleanToInteger BooleanToLong BooleanToDecimal BooleanToString IntegerToBoolean IntegerToLong IntegerToDecimal IntegerToQuantity IntegerToString LongToBoolean LongToInteger LongToDecimal LongToQuantity LongToString "

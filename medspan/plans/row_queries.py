@@ -295,6 +295,11 @@ SPECS = [
     ("convert_converts_to_quantity", "part", "ConvertsToQuantity(ToString(size) + ' days')", "true"),
     ("convert_converts_to_string", "part", "ConvertsToString(size)", "true"),
     ("convert_converts_to_time", "part", "ConvertsToTime(Substring(ToString(100 + size), 1) + ':00')", "p_size < 24"),
+    ("convert_to_chars", "part", "ToChars(brand)", "array_to_string(string_split(p_brand, ''), '|')"),
+    ("convert_to_ratio", "part", "ToRatio(ToString(size) + ' \\'mg\\':2 \\'mL\\'').numerator.value", "CAST(p_size AS DOUBLE)"),
+    ("convert_converts_to_ratio", "part", "ConvertsToRatio(name)", "false"),
+    ("query_select_many", "part", "Sum(flatten (({1, 2}) X return all ({size, X}) Y return all Y))", "2 * p_size + 3"),
+    ("query_nested", "part", "Count(({1, 20, 40}) X where exists (({size}) Y where Y > X))", "CASE WHEN p_size > 40 THEN 3 WHEN p_size > 20 THEN 2 WHEN p_size > 1 THEN 1 ELSE 0 END"),
     ("convert_expression", "part", "convert size to String", "CAST(p_size AS VARCHAR)"),
     ("type_is", "part", "size is Integer and name is String", "true"),
     ("type_as", "part", "size as Integer", "p_size"),
