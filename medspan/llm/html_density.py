@@ -9,10 +9,12 @@ by the characters inside and outside links,
 and the sum of its children's densities. The node with the largest density sum
 is the page's core; the threshold is the least density on the path from the core
 to the body. From the body down, the core's ancestors whose other children reach
-that threshold too are widened to, within the outermost article or main element
-if the core stands in one; elements that are never content (navigation, headers,
-footers, asides, forms, scripts, hidden parts, adverts, notices and reader
-comments, by tag, role or the words of class and id) take no part.
+that threshold too are widened to. If the core stands in an article or main
+element, or such elements hold a third of it, they bound the text: of the
+outermost ones all are kept whole in which something reaches the threshold.
+Elements that are never content (navigation, headers, footers, asides, forms,
+scripts, hidden parts, adverts, notices and reader comments, by tag, role or the
+words of class and id) take no part.
 
 Text of a block has its white space collapsed; blocks are joined by one space.
 
@@ -212,26 +214,29 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
-def core(root: Node) -> Node | None:
-    """The subtree that holds the main text."""
+def core(root: Node) -> list[Node]:
+    """The subtrees that hold the main text, in page order."""
     nodes = measure(root)
     nodes = [n for n in nodes if n.chars]
     if not nodes:
-        return None
+        return []
     best = max(nodes, key=lambda n: (n.total, n.density))
     path, node = [], best
     while node is not None:
         path.append(node)
         node = node.parent
-    marked = [n for n in path if n.tag in ("article", "main")]
-    if marked:
-        return marked[-1]
-    articles = [n for n in nodes if n.tag in ("article", "main")]
-    if articles:  # the page's own mark counts, unless it holds little
-        largest = max(articles, key=lambda n: n.chars)
-        if largest.chars * 3 >= best.chars:
-            return largest
     threshold = min(n.density for n in path)
+    marks: dict[Node, Node] = {}  # by node within an article or main, the outermost one
+    for n in nodes:
+        if n.parent in marks or n.tag in ("article", "main"):
+            marks[n] = marks.get(n.parent, n)
+    outermost = [n for n in marks if marks[n] is n]
+    above = sum(m.chars for m in outermost if _within(m, best))
+    if best in marks or above * 3 >= best.chars:  # they bound the core, unless it lies elsewhere or they hold little of it
+        dense = {m for n, m in marks.items() if n.density >= threshold and n.link_chars * 3 < n.chars}
+        own = marks.get(best)
+        if dense or own:
+            return [m for m in outermost if m in dense or m is own]
     chosen = best
     for node in path[1:]:
         if node.tag == "html":
@@ -241,7 +246,13 @@ def core(root: Node) -> Node | None:
         loose = sum(len(x.strip()) for x in node.children if isinstance(x, str))
         if dense or loose:
             chosen = node
-    return chosen
+    return [chosen]
+
+
+def _within(node: Node | None, outer: Node) -> bool:
+    while node is not None and node is not outer:
+        node = node.parent
+    return node is outer
 
 
 def text_of(node: Node) -> str:
@@ -276,10 +287,10 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    node = core(root)
-    if node is None and _soften(root):
-        node = core(root)
-    return text_of(node) if node is not None else ""
+    nodes = core(root)
+    if not nodes and _soften(root):
+        nodes = core(root)
+    return " ".join(filter(None, map(text_of, nodes)))
 
 
 def _soften(root: Node) -> bool:

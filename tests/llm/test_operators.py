@@ -463,6 +463,17 @@ def test_names_of_frames_exclude_no_article():
     assert html_density.main_text(f"<body><article>{ARTICLE}</article><div>{'dense words all over ' * 12}</div>") == TEXT
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_all_dense_sibling_articles_are_kept(tag):
+    other = "<p>Another part of the same story, told at some length and without any links.</p>"
+    both = f"{TEXT} Another part of the same story, told at some length and without any links."
+    cards = "".join(f"<{tag}><a href=/{i}>card {i}</a></{tag}>" for i in range(3))
+    assert html_density.main_text(f"<body><{tag}>{ARTICLE}</{tag}><{tag}>{other}</{tag}>{cards}") == both
+    assert html_density.main_text(f"<body><div><{tag}>{ARTICLE}</{tag}></div><div><{tag}>{other}</{tag}></div>") == both
+    core = "".join(f"<p>paragraph {i} of the text that density finds, well away from any mark</p>" for i in range(6))
+    assert html_density.main_text(f"<body><div><{tag}><a href=/x>short card of one line here</a></{tag}></div><div>{core}</div>") == re.sub("<p>|</p>", " ", core).replace("  ", " ").strip()
+
+
 def test_pages_frame(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>x"), (3, "u", "<p>x"), (4, "u", "<" * 500 + "a"), (5, "u", "<div>" * 20000 + "deep" + "</div>" * 7), (6, "u", "plain &lt;text&gt;")], "page_id long, url string, html string")
     got = [(r.page_id, r.text, r.n_chars) for r in html_density.extract_text(pages).collect()]
