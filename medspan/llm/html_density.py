@@ -14,7 +14,8 @@ element, or such elements hold a third of it, they bound the text: of the
 outermost ones all are kept whole in which something reaches the threshold.
 Elements that are never content (navigation, headers, footers, asides, forms,
 scripts, hidden parts, adverts, notices and reader comments, by tag, role or the
-words of class and id) take no part.
+words of class and id) take no part. Names and forms don't exclude an element
+that holds most of the text outside links, nor names as ``no-sidebar``.
 
 Text of a block has its white space collapsed; blocks are joined by one space.
 
@@ -38,7 +39,7 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-NEVER = frozenset("script style noscript template iframe object svg math canvas head title nav footer aside form button select textarea input dialog menu map audio video noembed noframes xmp".split())
+NEVER = frozenset("script style noscript template iframe object svg canvas annotation annotation-xml head title nav footer aside button select textarea input dialog menu map audio video noembed noframes xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
 #: Elements that an opening tag closes, as far as the next element of the second set.
 CLOSES = {
@@ -48,41 +49,60 @@ CLOSES = {
 _CLOSE_P = BLOCK - {"br", "body", "html"} - {"dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "summary", "figcaption"} | {"li", "dd", "dt"}
 _SCOPE = frozenset("html body table td th caption button object".split())
 _WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|block|wrap|container)\w*|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|\w{0,6}nav|nav(?:bar|igation|links?|menu)|\w{0,6}menu\w*|breadcrumbs?|side-?bars?|\w{0,6}footer|masthead|cookie\w*|consent|gdpr|notices?|popups?|modal|overlay|subscribe|newsletter|signup|login|share|sharing|social|related|recommend\w*|comment\w*|disqus|respond|reply|replies|discussion|widgets?|toolbar|pagination|pager|skip|copyright|legal|disclaimer|alert)(?:$|[\s_-])", re.I
+    r"(?:^|[\s_-])(ads?|ad(?:box|slot|unit|block|wrap|container)\w*|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|\w{0,6}nav|nav(?:bar|igation|links?|menu)|\w{0,6}menu\w*|breadcrumbs?|side-?bars?|\w{0,6}footer|masthead|cookie\w*|consent|gdpr|notices?|popups?|modal|overlay|subscribe|newsletter|signup|login|share|sharing|social|related|recommend\w*|comment\w*|disqus|respond|reply|replies|discussion|widgets?|toolbar|pagination|pager|skip|copyright|legal|disclaimer|alert)(?=$|[\s_-])", re.I
 )
+#: Parts of a name that say what an element goes without or holds, not what it is.
+_MODIFIED = re.compile(r"(?:^|[_-])(?:no|non|not|with|without|has|have|hide)[_-]", re.I)
+_COMMENT = re.compile(r"comment\w*|disqus|respond|reply|replies", re.I)
+#: Words that name content as well; within an article or main they only tell lists of links.
+_DOUBTFUL = re.compile(r"notices?|related|recommend\w*|discussion|copyright|legal|disclaimer|alert|social|skip", re.I)
+_ADVERT = re.compile(r"ads?|advert\w*|adsense|sponsor\w*", re.I)
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|page-header|site-header|topbar|top-bar)(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 
 
+#: Kinds of elements: content, never content, and those that only their name or a form excludes.
+CONTENT, HARD, NAMED, DOUBTFUL, COMMENTS, ADVERT = range(6)
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "never", "soft", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "never", "kind", "plain", "linked", "marked", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, never: int):
-        self.tag, self.parent, self.children, self.never, self.soft = tag, parent, [], bool(never), never == 2
+    def __init__(self, tag: str, parent: Node | None, kind: int = CONTENT):
+        self.tag, self.parent, self.children, self.never, self.kind = tag, parent, [], kind != CONTENT, kind
+        self.plain = self.linked = self.marked = 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _never(tag: str, attributes: str, inside: bool) -> int:
-    """0 for an element that can be content, 1 for one that never is, 2 for one whose names say so."""
+def _kind(tag: str, attributes: str, inside: bool) -> int:
+    """Kind of an element, by its tag, role, style and names."""
     if tag in NEVER or tag == "header" and not inside:
-        return 1
+        return HARD
     if not attributes.strip(" /\t\n\r"):
-        return 0
+        return NAMED if tag == "form" else CONTENT
     got = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in _ATTRIBUTE.finditer(attributes)}
-    if "hidden" in got or got.get("aria-hidden", "").lower() == "true" or got.get("role", "").lower() in _ROLES:
-        return 1
+    role = got.get("role", "").lower()
+    if "hidden" in got or got.get("aria-hidden", "").lower() == "true" or role in _ROLES and (tag, role) != ("form", "form"):
+        return HARD
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", got.get("style", ""), re.I):
-        return 1
+        return HARD
     if tag in ("html", "body", "article", "main"):
-        return int(tag == "article" and bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", f"{got.get('class', '')} {got.get('id', '')}", re.I)))
-    names = (got.get("class", ""), got.get("id", ""))
-    return 2 if any(n and (_WORDS.search(n) or not inside and _HEADER.search(n)) for n in names) else 0
+        return HARD if tag == "article" and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", f"{got.get('class', '')} {got.get('id', '')}", re.I) else CONTENT
+    names = [n for n in f"{got.get('class', '')} {got.get('id', '')}".split() if not _MODIFIED.search(n)]
+    words = [m[1] for n in names for m in _WORDS.finditer(n)]
+    if tag != "form" and any(map(_ADVERT.fullmatch, names)):
+        return ADVERT
+    if any(map(_COMMENT.fullmatch, words)):
+        return COMMENTS
+    if tag == "form" or not inside and any(map(_HEADER.search, names)):
+        return NAMED
+    return CONTENT if not words else DOUBTFUL if all(map(_DOUBTFUL.fullmatch, words)) else NAMED
 
 
 def parse(page: str) -> Node:
     """The element tree; children are nodes and strings (raw, with character references)."""
-    root = Node("html", None, False)
+    root = Node("html", None)
     body = current = root
     at, end = 0, len(page)
     article = 0
@@ -103,7 +123,7 @@ def parse(page: str) -> Node:
         if m[1]:
             if tag == "p" or tag == "br":
                 if tag == "br" or not _open(current, "p"):
-                    current.children.append(Node(tag, current, False))
+                    current.children.append(Node(tag, current))
                     continue
             node = current
             while node is not root and node.tag != tag:
@@ -118,7 +138,7 @@ def parse(page: str) -> Node:
             if tag == "body" and body is root:
                 while current.tag == "head":
                     current = current.parent
-                body = Node("body", root, False)
+                body = Node("body", root)
                 root.children.append(body)
                 current = body
             continue
@@ -138,14 +158,8 @@ def parse(page: str) -> Node:
             if found is not None:
                 current = found.parent
         inside = _open_any(current)
-        node = Node(tag, current, _never(tag, m[3], inside))
+        node = Node(tag, current, _kind(tag, m[3], inside))
         current.children.append(node)
-        if tag in ("article", "main") and not node.never:  # what holds it is a frame of the page, whatever its names say
-            up = current
-            while up is not None:
-                if up.soft:
-                    up.never = False
-                up = up.parent
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
         if tag in RAW:
@@ -287,18 +301,58 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _take_back(root)
     nodes = core(root)
     if not nodes and _soften(root):
         nodes = core(root)
     return " ".join(filter(None, map(text_of, nodes)))
 
 
+def _take_back(root: Node) -> None:
+    """Takes elements back in that only a name or a form excludes, if they hold most of the
+    text outside links: of the page, or if article and main elements hold a third of that,
+    of the one around them; around such elements, if they hold most of these. Comments, and
+    what stands beside a smaller article, need nine tenths; what is named an advert as a whole
+    stays out. Doubtful names within an article or main only exclude lists of links."""
+    order: list[tuple[Node, Node | None]] = []
+    stack: list[tuple[Node, Node | None]] = [(root, None)]
+    some = False
+    while stack:
+        node, mark = stack.pop()
+        if node.kind != HARD:
+            mark = node if mark is None and node.tag in ("article", "main") else mark
+            some |= node.kind != CONTENT
+            order.append((node, mark))
+            stack.extend((x, mark) for x in node.children if not isinstance(x, str))
+    if not some:
+        return
+    for node, _ in reversed(order):
+        for x in node.children:
+            if isinstance(x, str):
+                node.plain += len(x) - x.count(" ") if not x.isspace() else 0
+            elif x.kind != HARD:
+                node.plain, node.linked, node.marked = node.plain + x.plain, node.linked + x.linked, node.marked + x.marked
+        if node.tag == "a":
+            node.plain, node.linked = 0, node.linked + node.plain
+        if node.tag in ("article", "main"):
+            node.marked = node.plain
+        elif node.kind == COMMENTS:
+            node.marked = 0
+    bound = 0 < root.plain <= root.marked * 3
+    for node, mark in order:
+        if node.kind != CONTENT:
+            part, whole = (node.plain, mark.plain) if bound and mark else (node.marked, root.marked) if bound else (node.plain, root.plain)
+            strict = node.kind == COMMENTS or not bound and node.marked < root.marked and mark is None
+            most = part * 10 > whole * 9 if strict else part * 2 > whole
+            node.never = node.kind == ADVERT or not (most or node.kind == DOUBTFUL and mark and node.linked * 2 < node.plain)
+
+
 def _soften(root: Node) -> bool:
     """Takes elements back in that only their names exclude; whether there were any."""
     stack, any_ = [root], False
     while stack:
         node = stack.pop()
-        if node.soft and node.never:
+        if node.kind != HARD and node.never:
             node.never, any_ = False, True
         node.chars = node.tags = node.link_chars = node.link_tags = 0
         stack.extend(x for x in node.children if not isinstance(x, str))

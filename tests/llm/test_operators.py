@@ -474,6 +474,32 @@ def test_all_dense_sibling_articles_are_kept(tag):
     assert html_density.main_text(f"<body><div><{tag}><a href=/x>short card of one line here</a></{tag}></div><div>{core}</div>") == re.sub("<p>|</p>", " ", core).replace("  ", " ").strip()
 
 
+BOX = "<p>A box of the text itself, which says something worth the reading.</p>"
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "with-sidebar", "has-ads", "legal", "alert", "related", "sidebar", "widget"])
+@pytest.mark.parametrize("wrap", ["<body>{}", "<body><article>{}</article>", "<body><nav><a href=/>x</a></nav><div>{}</div>"])
+def test_names_exclude_no_main_text(wrap, name):
+    body = ARTICLE.partition("</h1>")[2]
+    page = wrap.format(f"<h1>Head &amp; line</h1><div class='{name}'>{body}</div>")
+    assert html_density.main_text(page) == TEXT
+
+
+@pytest.mark.parametrize("name", ["legal", "alert", "related", "discussion", "no-ads"])
+def test_boxes_of_an_article_stay(name):
+    assert html_density.main_text(f"<body><article>{ARTICLE}<div class={name}>{BOX}</div></article>") == f"{TEXT} {BOX[3:-4]}"
+    if name != "no-ads":
+        assert html_density.main_text(f"<body><article>{ARTICLE}<div class={name}><a href=/1>One more page</a> <a href=/2>Another</a></div></article>") == TEXT
+
+
+def test_forms_comments_and_formulas():
+    assert html_density.main_text(f"<body><form action=x><input type=hidden><div>{ARTICLE}</div></form>") == TEXT
+    assert html_density.main_text(f"<body><form role=form id=aspnetForm><nav><a href=/>x</a></nav><article>{ARTICLE}</article><select><option>y</select></form>") == TEXT
+    assert html_density.main_text(f"<body><article>{ARTICLE}</article><div class=comments>{BOX * 9}</div>") == TEXT
+    assert html_density.main_text(f"<body><div class=ad>{BOX * 9}</div><article><h1>Short</h1></article>") == "Short"
+    assert html_density.main_text("<body><article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds for all of them.</p></article>") == "So x=2 holds for all of them."
+
+
 def test_pages_frame(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>x"), (3, "u", "<p>x"), (4, "u", "<" * 500 + "a"), (5, "u", "<div>" * 20000 + "deep" + "</div>" * 7), (6, "u", "plain &lt;text&gt;")], "page_id long, url string, html string")
     got = [(r.page_id, r.text, r.n_chars) for r in html_density.extract_text(pages).collect()]
