@@ -13,7 +13,7 @@ by text, and then spread to the words; long texts take no longer path in Python.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0;
 repeated rows get the same result; an empty table gives no rows; without any
-learned language everything is ``und``.
+learned language everything is ``und``. Labels whose texts have no letter aren't learned.
 """
 
 from __future__ import annotations
@@ -175,7 +175,10 @@ def marginals(emission: np.ndarray, first: np.ndarray, transitions: np.ndarray,
 
 
 def fit(texts: list[str], langs: list[str], how: CrfFit = CrfFit()) -> CrfModel:
-    """Learns weights, transitions and start from texts of one language each."""
+    """Learns weights, transitions and start from texts of one language each; a label
+    none of whose texts has a letter is no language."""
+    lettered = [d for d, t in enumerate(texts) if has_letter(t)]
+    texts, langs = [texts[d] for d in lettered], [langs[d] for d in lettered]
     names = tuple(sorted(set(langs)))
     k = len(names)
     size = 1 << how.bits
@@ -185,8 +188,6 @@ def fit(texts: list[str], langs: list[str], how: CrfFit = CrfFit()) -> CrfModel:
     buffer, a, b, first = tokens(texts)
     label = np.array([names.index(x) for x in langs])
     usable = [[d for d in np.flatnonzero(label == j) if first[d + 1] > first[d]] for j in range(k)]
-    if any(not u for u in usable):
-        return model
     whole = T.mix(T.span_hash(T.prefix_hash(buffer), a, b))
     _, one, inverse = np.unique(whole, return_index=True, return_inverse=True)
     key, of = word_features(buffer, a[one], b[one], how.bits)

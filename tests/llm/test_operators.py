@@ -290,6 +290,16 @@ def test_language_of_unseen_and_mixed_text(spark, crf):
     assert lang_crf.predict(["abc"], lang_crf.fit([], []))[0] == ["und"]
 
 
+def test_label_without_letters_stops_no_learning():
+    rng = random.Random(8)
+    data = [(tongue(rng, k, 60), k) for _ in range(60) for k in SOUNDS] + [("123 -- 4", "aa"), ("", "aa"), ("… 5", "zz")]
+    model = lang_crf.fit([t for t, _ in data], [k for _, k in data], lang_crf.CrfFit(steps=60))
+    assert model.langs == tuple(SOUNDS)
+    langs, scores = lang_crf.predict([tongue(rng, k, 40) for k in SOUNDS], model)
+    assert langs == list(SOUNDS) and (scores > 0.9).all()
+    assert lang_crf.predict(["abc"], lang_crf.fit(["1", "2"], ["aa", "zz"]))[0] == ["und"]
+
+
 # --- quality ---------------------------------------------------------------
 
 
