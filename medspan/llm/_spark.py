@@ -1,4 +1,4 @@
-"""Small helpers for plans: checkpoints and grouped Arrow batches."""
+"""Small helpers for plans: checkpoints, samples and grouped Arrow batches."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -51,3 +52,23 @@ def bounded_batches(spark, rows: int = 2000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows or int(spark.conf.get(key, "10000")) <= 0:
         spark.conf.set(key, str(rows))
+
+
+def sampled_rows(ids: DataFrame, rows: DataFrame, most: int, most_bytes: int) -> list:
+    """The first ids in the order of a hash, at most that many, each with its least row by
+    length and text, sorted by doc_id. A text that the bytes left don't hold is passed over,
+    before it leaves the executors.
+
+    ids: doc_id, once each, and what goes with it; rows: doc_id, text and other columns."""
+    first = ids.where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = rows.withColumn("n_bytes", F.octet_length("text"))
+    known = rows.join(F.broadcast(first), "doc_id").groupBy(*first.columns).agg(F.min("n_bytes").alias("n_bytes"))
+    taken, left = [], most_bytes
+    for row in sorted(known.withColumn("place", F.xxhash64("doc_id")).collect(), key=lambda r: (r["place"], r["doc_id"])):
+        if row["n_bytes"] <= left:
+            left -= row["n_bytes"]
+            taken.append(tuple(row)[:-1])
+    picked = F.broadcast(rows.sparkSession.createDataFrame(taken, known.schema))
+    columns = ["text", *(c for c in rows.columns if c not in ("text", *known.columns))]
+    got = rows.join(picked, ["doc_id", "n_bytes"]).groupBy(*first.columns).agg(F.min(F.struct(*columns)).alias("row"))
+    return sorted(got.select(*first.columns, "row.*").collect(), key=lambda r: r["doc_id"])

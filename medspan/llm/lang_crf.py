@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medspan.llm import _text as T
+from medspan.llm._spark import sampled_rows
 
 U = np.uint64
 UNKNOWN = "und"
@@ -281,17 +282,11 @@ def has_letter(text: str | None) -> bool:
 
 
 def training_sample(documents: DataFrame, where, how: CrfFit = CrfFit()) -> tuple[list[str], list[str]]:
-    """Texts and languages to fit on: rows under where with both, at most how.sample, in the order of a hash of the id."""
+    """Texts and languages to fit on: rows under where with both, at most how.sample ids
+    and how.sample_bytes, in the order of a hash of the id; one row of each id."""
     chosen = documents.where(where).where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    ids = chosen.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.sample)
-    texts, langs, running = [], [], 0
-    for row in sorted(chosen.join(F.broadcast(ids.distinct()), "doc_id").toLocalIterator(), key=lambda r: (r["doc_id"], r["text"], r["lang"])):
-        size = len(row["text"].encode("utf-8", "replace"))
-        if running + size <= how.sample_bytes:
-            running += size
-            texts.append(row["text"])
-            langs.append(row["lang"])
-    return texts, langs
+    rows = sampled_rows(chosen.select("doc_id").distinct(), chosen, how.sample, how.sample_bytes)
+    return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
 def identify_languages(documents: DataFrame, model: CrfModel, keep: list[str] | None = None, least: float | None = None, text: str = "text") -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medspan.llm import _text as T
+from medspan.llm._spark import sampled_rows
 
 U = np.uint64
 _SHAPE = np.zeros(256, np.uint8)
@@ -127,22 +128,14 @@ def score(parts: list[bytes], weights: np.ndarray, bits: int) -> np.ndarray:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, where, label: str = "quality", model: Ftrl = Ftrl()):
-    """(texts, labels) to fit on: rows under where, at most model.sample, in the order of a hash of the id.
+    """(texts, labels) to fit on: rows under where, at most model.sample ids and
+    model.sample_bytes, in the order of a hash of the id; one row of each id.
 
     A doc_id with several labels takes the largest; null texts and labels don't
     take part. The order by hash keeps the sample free of the table's order."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
-    chosen = known.where(where).orderBy(F.xxhash64("doc_id"), "doc_id").limit(model.sample)
-    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    running, parts, y = 0, [], []
-    for row in sorted(texts.select("doc_id", "text", "label").toLocalIterator(), key=lambda r: (r["doc_id"], r["text"])):
-        part = row["text"].encode("utf-8", "replace")
-        if running + len(part) > model.sample_bytes:
-            continue
-        running += len(part)
-        parts.append(part)
-        y.append(int(row["label"] == 1))
-    return parts, np.array(y)
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label")).where(where)
+    rows = sampled_rows(known, documents.select("doc_id", "text").where(F.col("text").isNotNull()), model.sample, model.sample_bytes)
+    return [r["text"].encode("utf-8", "replace") for r in rows], np.array([int(r["label"] == 1) for r in rows])
 
 
 def score_quality(documents: DataFrame, weights: np.ndarray, bits: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -300,6 +300,22 @@ def test_label_without_letters_stops_no_learning():
     assert lang_crf.predict(["abc"], lang_crf.fit(["1", "2"], ["aa", "zz"]))[0] == ["und"]
 
 
+def test_samples_go_by_hash_with_one_row_of_each_id(spark):
+    rows = [(i, "ka" * 50, "xx") for i in range(40)] + [(7, t, "yy") for t in ["ka" * 50, *["lo" * 60] * 200]] + [(50, None, "xx"), (None, "x", "xx"), (51, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    order = [r.doc_id for r in spark.range(40).selectExpr("id AS doc_id", "xxhash64(id) AS h").orderBy("h").collect()]
+    everything = docs["doc_id"] >= 0
+    texts, langs = lang_crf.training_sample(docs, everything, lang_crf.CrfFit(sample=40))
+    assert texts == ["ka" * 50] * 40 and langs == ["xx"] * 40
+    marked = docs.withColumn("text", docs["text"].substr(1, 90)).where("lang = 'xx'").selectExpr("doc_id", "concat(text, lpad(doc_id, 10, '0')) AS text", "lang")
+    texts, _ = lang_crf.training_sample(marked, everything, lang_crf.CrfFit(sample=30, sample_bytes=1250))
+    assert [int(t[-10:]) for t in texts] == sorted(order[:12])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (60, 1)], "doc_id long, quality int")
+    parts, y = quality_ftrl.labelled_sample(marked, labels, labels["doc_id"] >= 0, model=quality_ftrl.Ftrl(sample_bytes=1250))
+    assert [int(p[-10:]) for p in parts] == sorted(order[:12]) and y.tolist() == [i % 2 for i in sorted(order[:12])]
+    assert lang_crf.training_sample(docs.limit(0), everything) == ([], [])
+
+
 # --- quality ---------------------------------------------------------------
 
 
