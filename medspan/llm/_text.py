@@ -19,6 +19,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Random 64-bit value of each byte, so that low bits of the polynomial hash are mixed.
 BYTE_VALUE = np.random.default_rng(20240229).integers(1, MASK, 256, dtype=np.uint64, endpoint=True)
+OTHER_VALUE = np.random.default_rng(20240301).integers(1, MASK, 256, dtype=np.uint64, endpoint=True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,11 +86,11 @@ def blocks(parts: list[bytes], limit: int):
         yield start, len(parts)
 
 
-def prefix_hash(buffer: np.ndarray) -> np.ndarray:
+def prefix_hash(buffer: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
     """h with hash(a, b) = (h[b] - h[a]) * INVERSE**a."""
     up = Powers.get(len(buffer) + 1, "up")
     h = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[buffer] * up[: len(buffer)], out=h[1:])
+    np.cumsum(values[buffer] * up[: len(buffer)], out=h[1:])
     return h
 
 

@@ -116,6 +116,38 @@ def test_repeats_match_table_of_passages(spark):
     assert sorted(got, key=str) == sorted(suffix_dedup.brute_force(rows), key=str)
 
 
+def test_hot_triggers_match_table_of_passages(spark):
+    """One trigger in thousands of distinct phrases, whole or dealt out by passage."""
+    rng = random.Random(4)
+    parts = [f"{rng.random()} {'the very same words again and again' if i % 2 else 'another sentence that stays'} {rng.randrange(40)}{rng.random()}"[3:] for i in range(3000)]
+    texts = [" ".join(parts[i : i + 30]) + parts[rng.randrange(3000)] for i in range(0, 3000, 30)]
+    want = sorted(suffix_dedup.brute_force(list(enumerate(texts))), key=str)
+    docs = frame(spark, texts)
+    for how in (suffix_dedup.Passages(gather=4000, bucket=20000), suffix_dedup.Passages(gather=4000, spread=20, share=1)):
+        hot = suffix_dedup.hot_triggers(docs.selectExpr("doc_id", "0L as k", "text"), how)
+        assert (len(hot) > 0) == (how.share == 1)
+        got = [(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.remove_repeats(docs, how).collect()]
+        assert sorted(got, key=str) == want
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text("ab", max_size=120), st.sampled_from([3, 8, 13, 20, 50]))
+def test_suffix_classes_order_bytes(text, length):
+    raw = text.encode()
+    at = np.arange(max(0, len(raw) - length + 1))
+    own = [raw[i : i + length] for i in at]
+    place = {x: i for i, x in enumerate(sorted(set(own)))}
+    assert suffix_dedup.suffix_classes(np.frombuffer(raw, np.uint8), at, length).tolist() == [place[x] for x in own]
+
+
+def test_repeats_keep_the_largest_id_and_any_column(spark):
+    last = (1 << 63) - 1
+    text = "passage " * 30
+    docs = spark.createDataFrame([(last, text, 1, 2), (1, text, 3, 4), (None, text, 5, 6)], "doc_id long, text string, __null int, col1 int")
+    assert {(r.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(docs).collect()} == {(1, 0), (last, 240), (None, 240)}
+    assert sorted(map(tuple, suffix_dedup.without_repeats(docs).collect()), key=str) == sorted([(last, "", 1, 2), (1, text, 3, 4), (None, "", 5, 6)], key=str)
+
+
 def test_without_repeats_keeps_columns(spark):
     long = "passage " * 30
     out = suffix_dedup.without_repeats(frame(spark, [long, "é" + long + "é", None, "short"]))
