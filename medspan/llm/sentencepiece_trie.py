@@ -2,10 +2,11 @@
 
 Texts are cut into marked words (a run of word markers with what follows up to
 the next marker; a line break stands alone unless a piece holds one), and these into
-segments between characters that no piece has side by side. The distinct
-segments of a batch are sorted, so that they lie in trie order, and visited depth
-first: each keeps the forward states of its prefixes on a stack, and the next word
-resumes after the common prefix.
+segments between characters that no piece has side by side. Segments are found in the
+flat code points of a block of texts, by 64 bits of a hash, and their pieces kept in a table
+(with 64 other bits). The distinct segments that the table lacks are sorted, so that
+they lie in trie order, and visited depth first: each keeps the forward states of its
+prefixes on a stack, and the next one resumes after the common prefix.
 
 * Unigram models: a state is the best score of a prefix and its last piece
   (Viterbi); unknown characters score the lowest piece's score less ten. Of equal sums
@@ -31,16 +32,20 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medspan.llm import _text as T
+
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
+#: Odd multipliers of the two hashes of a character at its place in a segment.
+_FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -172,31 +177,44 @@ def merge(word: str, ids: dict[str, int], scores: list[float], over: float = flo
 
 
 class Encoder:
-    """Encodes words, with states kept over calls in tables of bounded size."""
+    """Encodes texts, with the pieces of segments kept over calls in tables of bounded size."""
 
-    KEEP, KEEP_PAIRS = 200_000, 400_000
+    KEEP, KEEP_PAIRS = 1_500_000, 400_000
 
     def __init__(self, model: Model):
         self.model = model
-        self.words: dict[str, int] = {}
-        self.flat, self.starts = array("i"), array("q", [0])
         self.pairs: dict[int, bool] = {}
         self.worst = min((s for s, k in zip(model.scores, model.kinds, strict=True) if k == _NORMAL), default=0.0) - 10.0
-        alone = "\n" if not any("\n" in p for p in model.ids) else MARK
-        self.cut = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+|{alone}")
+        self.mark = ord(MARK)
+        self.alone = ord("\n") if not any("\n" in p for p in model.ids) else self.mark
         #: neighbours that some piece has within: merging can't cross any others
-        self.joined = {p[i : i + 2] for p in model.ids for i in range(len(p) - 1)}
-        self.segments: dict[str, tuple[int, ...]] = {}
-
-    def split(self, word: str) -> list[str]:
-        """A word's segments, cut where no piece has both neighbours."""
-        joined, out, start = self.joined, [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in joined:
-                out.append(word[start:i])
-                start = i
-        out.append(word[start:])
-        return out
+        joined = {p[i : i + 2] for p in model.ids for i in range(len(p) - 1)}
+        chars = sorted({ord(c) for pair in joined for c in pair})
+        self.char = np.zeros(max(chars, default=0) + 2, np.int64)
+        self.char[chars] = np.arange(1, len(chars) + 1)
+        self.width = len(chars) + 1
+        self.joined = np.zeros(self.width * self.width, bool)
+        self.joined[[self.char[ord(a)] * self.width + self.char[ord(b)] for a, b in joined]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the table of segments: hashes in order, with a second hash and the place of the pieces."""
+        self.hashes, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.zeros(1 << 16, np.int32)
+        self.used = 0
+
+    def cut(self, points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts of the segments, whether each starts a word) of code points whose texts start at starts."""
+        mark, alone = points == self.mark, points == self.alone
+        word = np.zeros(len(points), bool)
+        word[starts] = True
+        word[1:] |= (mark[1:] & ~mark[:-1]) if self.alone == self.mark else (mark[1:] & ~mark[:-1]) | alone[1:] | alone[:-1]
+        of = self.char[np.minimum(points, len(self.char) - 1)]
+        cut = word.copy()
+        cut[1:] |= ~self.joined[of[:-1] * self.width + of[1:]]
+        at = np.flatnonzero(cut)
+        return at, word[at]
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the two pieces' text gives the two pieces again."""
@@ -218,22 +236,49 @@ class Encoder:
             self.pairs[key] = known
         return known
 
-    def learn(self, words) -> None:
-        """Encodes words: their new segments first, together."""
-        parts = {w: self.split(w) for w in words}
-        known = self.segments
-        self._visit({s for segments in parts.values() for s in segments if s not in known})
-        for w, segments in parts.items():
-            before = len(self.flat)
-            for s in segments:
-                for k in known[s]:
-                    if k != self.model.unknown or len(self.flat) == before or self.flat[-1] != k:
-                        self.flat.append(k)
-            self.words[w] = len(self.starts) - 1
-            self.starts.append(len(self.flat))
-
-    def _visit(self, words) -> None:
-        """Encodes segments in trie order, depth first."""
+    def look_up(self, points: np.ndarray, text: str, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The place in the table of every segment; new ones are encoded first, together."""
+        within = np.arange(len(points), dtype=np.uint64) - np.repeat(at, sizes).astype(np.uint64)
+        letters = points.astype(np.uint64) | (within << np.uint64(21))
+        codes, hashes = pd.factorize(np.add.reduceat(T.mix(letters * _FIRST), at))
+        first = np.empty(len(hashes), np.int64)
+        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        own, own_sizes = at[first], sizes[first]
+        spread = np.repeat(own - (np.cumsum(own_sizes) - own_sizes), own_sizes) + np.arange(int(own_sizes.sum()))
+        checks = np.add.reduceat(T.mix(letters[spread] * _SECOND), np.cumsum(own_sizes) - own_sizes)
+        if len(self.hashes) > self.KEEP:
+            self.forget()
+        place = np.searchsorted(self.hashes, hashes)
+        known = np.append(self.hashes, _FIRST)[place] == hashes
+        known &= place < len(self.hashes)
+        if (self.checks[place[known]] != checks[known]).any():  # two segments with one hash
+            self.forget()
+            known[:] = False
+        new = np.flatnonzero(~known)
+        if len(new):
+            self._keep(hashes, checks, self._visit({text[a : a + n]: i for a, n, i in zip(own[new].tolist(), own_sizes[new].tolist(), new.tolist(), strict=True)}))
+            place = np.searchsorted(self.hashes, hashes)
+        return place[codes]
+
+    def _keep(self, hashes: np.ndarray, checks: np.ndarray, pieces: dict[int, tuple]) -> None:
+        """Adds segments to the table."""
+        new = np.fromiter(pieces, np.int64, len(pieces))
+        sizes = np.fromiter(map(len, pieces.values()), np.int32, len(pieces))
+        total = int(sizes.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
+        self.flat[self.used : self.used + total] = np.fromiter((k for x in pieces.values() for k in x), np.int32, total)
+        begin = self.used + np.cumsum(sizes) - sizes
+        self.used += total
+        order = np.argsort(hashes[new])
+        new, begin, sizes = new[order], begin[order], sizes[order]
+        to = np.searchsorted(self.hashes, hashes[new])
+        self.hashes, self.checks = np.insert(self.hashes, to, hashes[new]), np.insert(self.checks, to, checks[new])
+        self.begin, self.size = np.insert(self.begin, to, begin), np.insert(self.size, to, sizes)
+
+    def _visit(self, words: dict[str, int]) -> dict[int, tuple]:
+        """The pieces of segments by their numbers, encoded in trie order, depth first."""
+        out = {}
         model, ids = self.model, self.model.ids
         unigram, tails = model.kind == UNIGRAM, model.tails
         single = np.float32  # the model's own sums are in single precision, and ties go to the longer last piece
@@ -242,7 +287,7 @@ class Encoder:
         for word in sorted(words):
             if not unigram and word.startswith(MARK + MARK):
                 parts = merge(word, ids, model.scores)
-                self._add(word, [ids.get(p, -1) for p in parts], parts)
+                out[words[word]] = self._pieces([ids.get(p, -1) for p in parts], parts)
                 continue
             shared = 0
             for a, b in zip(word, before):  # noqa: B905
@@ -281,9 +326,11 @@ class Encoder:
                 found.append((last[at], at - length[at], at))
                 at -= length[at]
             found.reverse()
-            self._add(word, [k for k, _, _ in found], [word[a:b] for _, a, b in found])
+            ks = tuple(k for k, _, _ in found)
+            out[words[word]] = ks if -1 not in ks else self._pieces(ks, [word[a:b] for _, a, b in found])
+        return out
 
-    def _add(self, word: str, ids: list[int], parts: list[str]) -> None:
+    def _pieces(self, ids, parts: list[str]) -> tuple[int, ...]:
         model, out = self.model, []
         for k, p in zip(ids, parts, strict=True):
             if k >= 0:
@@ -292,36 +339,34 @@ class Encoder:
                 out.extend(model.bytes_at[b] for b in p.encode("utf-8", "replace"))
             else:
                 out.append(model.unknown)
-        self.segments[word] = tuple(out)
+        return tuple(out)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(pieces of all texts, offsets of the texts)."""
-        if len(self.words) > self.KEEP:
-            self.words.clear()
-            self.flat, self.starts = array("i"), array("q", [0])
-        if len(self.segments) > self.KEEP:
-            self.segments.clear()
-        model = self.model
-        cut, prefix = self.cut.findall, MARK if model.dummy_prefix else ""
-        per_text = []
-        for t in texts:
-            if not t:
-                per_text.append([])
-                continue
-            if model.squeeze:
-                t = re.sub(" +", " ", t.strip(" "))
-            per_text.append(cut(prefix + t.replace(" ", MARK)) if t else [])
-        new = set().union(*per_text) if per_text else set()
-        self.learn(w for w in new if w not in self.words)
-        get = self.words.__getitem__
-        sizes = np.fromiter(map(len, per_text), np.int64, len(per_text))
-        which = np.fromiter((get(w) for ws in per_text for w in ws), np.int64, int(sizes.sum()))
-        starts, flat = np.array(self.starts, np.int64), np.array(self.flat, np.int32)
-        length = starts[which + 1] - starts[which]
-        ends = np.cumsum(length)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - length, length) + np.repeat(starts[which], length)
-        total = np.concatenate([[0], ends])
-        return flat[at] if len(at) else np.zeros(0, np.int32), total[np.concatenate([[0], np.cumsum(sizes)])]
+        model, prefix = self.model, MARK if self.model.dummy_prefix else ""
+        if model.squeeze:
+            texts = [re.sub(" +", " ", t.strip(" ")) if t else "" for t in texts]
+        parts = [prefix + t if t else "" for t in texts]
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.cumsum(lengths)
+        text = "".join(parts).replace(" ", MARK)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        if not len(points):
+            return np.zeros(0, np.int32), np.zeros(len(parts) + 1, np.int64)
+        at, word = self.cut(points, (ends - lengths)[lengths > 0])
+        place = self.look_up(points, text, at, np.diff(at, append=len(points)))
+        size = self.size[place].astype(np.int64)
+        stop = np.cumsum(size)
+        which = np.arange(int(stop[-1])) + np.repeat(self.begin[place] - (stop - size), size)
+        pieces = self.flat[which]
+        total = np.concatenate([[0], stop])[np.searchsorted(at, np.concatenate([[0], ends]))]
+        if not model.byte_fallback:  # unknown pieces in a row within a word are one
+            again = np.zeros(len(pieces), bool)
+            again[1:] = (pieces[1:] == model.unknown) & (pieces[:-1] == model.unknown)
+            again[(stop - size)[word & (size > 0)]] = False
+            total -= np.concatenate([[0], np.cumsum(again)])[total]
+            pieces = pieces[~again]
+        return pieces, total
 
 
 class Decoder:
