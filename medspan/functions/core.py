@@ -12,6 +12,7 @@ Precision codes: 1 year, 2 month, 3 day, 4 hour, 5 minute, 6 second, 7 milliseco
 from __future__ import annotations
 
 import itertools
+import re
 from dataclasses import dataclass
 
 DECIMAL = "decimal(28,8)"
@@ -29,11 +30,13 @@ class TypeFault(TypeError):
 
 @dataclass(frozen=True)
 class E:
-    """sql text of type t; p: the precision of a temporal value, where it is known."""
+    """sql text of type t; p: the precision of a temporal value, where it is known; raw: the
+    plain number column that the value is cast from, which predicates on scans can use."""
 
     sql: str
     t: object
     p: int | None = None
+    raw: str | None = None
 
     def __str__(self):
         return self.sql
@@ -81,9 +84,13 @@ def text(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t") + "'"
 
 
+#: Length of text from which an operand that is put in several times gets a variable, so that nesting adds to the text and doesn't multiply it.
+LONG = 120
+
+
 def let(value: E, body) -> E:
     """body(variable) with value computed once; short expressions are put in as they are."""
-    if len(value.sql) < 120:
+    if len(value.sql) < LONG:
         return body(value)
     v = fresh("v")
     out = body(E(v, value.t, value.p))
@@ -112,7 +119,6 @@ def temporal(kind: str, point: str, precision: str | int, offset: str = "cast(nu
 def parse_temporal(kind: str, value: str) -> E:
     """A literal such as @2012-01, @2012-01-01T10:00Z or @T10:30."""
     import datetime as dt
-    import re
 
     body = value.lstrip("@")
     offset = None
@@ -213,9 +219,17 @@ def canonical(q: E) -> str:
     return f"(({q}).value * cast({_unit_case(f'({q}).unit', 1, '1')} as decimal(18,6)))"
 
 
+def let_both(a: E, b: E, body) -> E:
+    """body(a, b) with both computed once."""
+    return let(a, lambda x: let(b, lambda y: body(x, y)))
+
+
 def order(a: E, b: E, precision: str | None = None) -> str:
     """-1, 0, 1, or null where either is null or it is open."""
-    a, b = aligned(a, b)
+    return let_both(*aligned(a, b), lambda x, y: E(_order(x, y, precision), "Integer")).sql
+
+
+def _order(a: E, b: E, precision: str | None) -> str:
     if base(a.t) in TEMPORAL:
         return order_temporal(a, b, precision)
     if a.t == "Quantity":
@@ -226,11 +240,26 @@ def order(a: E, b: E, precision: str | None = None) -> str:
     raise TypeFault(f"{a.t} has no order")
 
 
+_NUMBER = re.compile(r"cast\((-?[\d.]+) as decimal\(28,8\)\)")
+
+
+def on_raw(a: E, b: E, op: str) -> str:
+    """What a comparison with a number implies for the column that the other side is cast from: a wider bound, for scans to prune by."""
+    if b.raw and not a.raw:
+        return on_raw(b, a, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op))
+    number = _NUMBER.fullmatch(b.sql)
+    if not a.raw or not number or op not in ("<", "<=", ">", ">=", "="):
+        return ""
+    value = float(number[1])
+    slack = max(1e-6, abs(value) * 1e-12)
+    return (f" and {a.raw} <= {value + slack!r}D" if op in ("<", "<=", "=") else "") + (f" and {a.raw} >= {value - slack!r}D" if op in (">", ">=", "=") else "")
+
+
 def compare(a: E, b: E, op: str, precision: str | None = None) -> E:
     """a op b in three-valued logic; a plain predicate where the types allow."""
     a, b = aligned(a, b)
     if a.t in (*NUMBERS, "String", "Boolean"):
-        return E(f"({a} {op} {b})", "Boolean")
+        return E(f"({a} {op} {b}{on_raw(a, b, op)})", "Boolean")
     if base(a.t) in TEMPORAL and precision != "week":
         pa, pb = p(a), p(b)
         if pa == pb and pa.isdigit():
@@ -242,14 +271,18 @@ def compare(a: E, b: E, op: str, precision: str | None = None) -> E:
 def equal(a: E, b: E, precision: str | None = None) -> E:
     """CQL equality: null if either side is null or it is open; by field for tuples."""
     a, b = aligned(a, b)
+    if isinstance(a.t, str) and (base(a.t) in TEMPORAL or a.t in (*NUMBERS, "String", "Boolean", "Quantity")):
+        return compare(a, b, "=", precision)
+    return let_both(a, b, lambda x, y: _equal(x, y, precision))
+
+
+def _equal(a: E, b: E, precision: str | None) -> E:
     t = a.t
     if t == "Any":
         return null("Boolean")
     if t in ("Code",):
         parts = [f"(lower(({a}).{f}) = lower(({b}).{f}) or (({a}).{f} is null and ({b}).{f} is null))" for f in ("code", "system", "version", "display")]
         return E(f"case when {a} is null or {b} is null then null else {' and '.join(parts)} end", "Boolean")
-    if isinstance(t, str) and (base(t) in TEMPORAL or t in (*NUMBERS, "String", "Boolean", "Quantity")):
-        return compare(a, b, "=", precision)
     if t in ("Concept", "Ratio"):
         return E(f"({a} = {b})", "Boolean")
     if is_list(t):
@@ -264,6 +297,10 @@ def equal(a: E, b: E, precision: str | None = None) -> E:
 
 def equivalent(a: E, b: E) -> E:
     """Never null: two nulls are equivalent; strings without regard to case and kind of space; concepts by a common code."""
+    return let_both(a, b, _equivalent)
+
+
+def _equivalent(a: E, b: E) -> E:
     if {a.t, b.t} in ({"Code", "Concept"}, {"Concept"}):
         a, b = coerce(a, "Concept"), coerce(b, "Concept")
         key = lambda e: f"transform(({e}).codes, c -> concat_ws('|', lower(c.code), lower(c.system)))"
@@ -353,6 +390,8 @@ def coerce(e: E, t) -> E:
     if isinstance(t, str) and isinstance(e.t, str):
         if e.t in NUMBERS and t in NUMBERS and _RANK[e.t] < _RANK[t]:
             return E(f"cast({e} as {sql_type(t)})", t)
+        if len(e.sql) >= LONG and (t == "Concept" or e.t in NUMBERS and t == "Quantity"):
+            return let(e, lambda x: coerce(x, t))
         if e.t in NUMBERS and t == "Quantity":
             return E(f"case when {e} is not null then named_struct('value', cast({e} as {DECIMAL}), 'unit', '1') end", t)
         if e.t == "Code" and t == "Concept":
@@ -360,19 +399,19 @@ def coerce(e: E, t) -> E:
         if base(e.t) in TEMPORAL and base(t) in TEMPORAL:
             kind, want = base(e.t), base(t)
             if kind == want and not t.endswith("!"):
-                out = temporal(want, v(e), p(e))
-                return E(f"case when {e} is not null then {out} end", t, e.p or FULL[kind])
+                return let(e, lambda x: E(f"case when {x} is not null then {temporal(want, v(x), p(x))} end", t, e.p or FULL[kind]))
             if kind == "Date" and want == "DateTime":
-                point = f"cast({v(e)} as timestamp)"
                 if t.endswith("!"):
-                    return E(point, t)
-                return E(f"case when {e} is not null then {temporal('DateTime', point, p(e))} end", t, int(p(e)) if p(e).isdigit() else None)
+                    return E(f"cast({v(e)} as timestamp)", t)
+                return let(e, lambda x: E(f"case when {x} is not null then {temporal('DateTime', f'cast({v(x)} as timestamp)', p(x))} end", t, int(p(e)) if p(e).isdigit() else None))
             if kind == want:
                 return E(v(e), t)
     elif isinstance(t, tuple) and isinstance(e.t, tuple) and t[0] == e.t[0]:
         if t[0] == "List":
             x = fresh()
             return E(f"transform({e}, {x} -> {coerce(E(x, e.t[1]), t[1])})", t)
+        if len(e.sql) >= LONG:
+            return let(e, lambda x: coerce(x, t))
         if t[0] == "Interval":
             return E(f"case when {e} is not null then named_struct('low', {coerce(part(e, 'low'), t[1])}, 'high', {coerce(part(e, 'high'), t[1])}, 'lc', ({e}).lc, 'hc', ({e}).hc) end", t)
         fields = ", ".join(f"{text(n)}, {coerce(part(e, n), x)}" for n, x in t[1])

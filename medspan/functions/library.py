@@ -24,11 +24,22 @@ def call(name: str, args: list[E], precision: str | None = None, context=None) -
     if f is None:
         raise TypeFault(f"no operator {name}")
     try:
-        return f(args, precision) if name not in NEEDS_CONTEXT else f(args, precision, context)
+        return _bound(list(args), [], lambda xs: f(xs, precision) if name not in NEEDS_CONTEXT else f(xs, precision, context))
     except (ValueError, IndexError) as fault:
         raise TypeFault(f"{name} is not for {[a.t for a in args]}: {fault}") from fault
 
 
+def _bound(left: list[E], done: list[E], body) -> E:
+    """body(operands) with long operands as variables, but for rows, lists of codes and intervals whose bounds stand plainly."""
+    if not left:
+        return body(done)
+    a, *rest = left
+    plain = is_interval(a.t) and str(a.t[1]).endswith("!") and a.sql.startswith("named_struct")
+    if len(a.sql) < 2 * c.LONG or plain or a.t in ("Any", ("List", "Code")) or isinstance(a.t, tuple) and a.t[0] == "Row":
+        return _bound(rest, [*done, a], body)
+    return c.let(a, lambda x: _bound(rest, [*done, x], body))
+
+
 NEEDS_CONTEXT = {"Now", "Today", "TimeOfDay", "Age", "AgeAt", "InValueSet", "AnyInValueSet", "ExpandValueSet"}
 
 
@@ -213,6 +224,8 @@ def step(a: E, sign: int) -> E:
         return E(f"{name}({a}, cast(1 as {sql_type(t)}))", t)
     if t == "Decimal":
         return E(f"cast({name}({a}, cast(0.00000001 as {DECIMAL})) as {DECIMAL})", t)
+    if len(a.sql) >= c.LONG:
+        return c.let(a, lambda x: step(x, sign))
     if t == "Quantity":
         return when(a, str(quantity(str(step(E(f"({a}).value", "Decimal"), sign)), f"({a}).unit")), t)
     kind = base(t)
@@ -502,11 +515,6 @@ def time_from(args, _):
     return E(f"case when {p(a)} > 3 then {temporal('Time', ms, p(a))} end", "Time")
 
 
-def _pair(args):
-    a, b = c.aligned(*args)
-    return a, b, base(a.t)
-
-
 def _least(a, b, level: int) -> str:
     pa, pb = p(a), p(b)
     return "true" if pa.isdigit() and pb.isdigit() and min(int(pa), int(pb)) >= level else f"least({pa}, {pb}) >= {level}"
@@ -518,7 +526,11 @@ def _micros(kind, e):
 
 @op("DifferenceBetween")
 def difference(args, precision):
-    a, b, kind = _pair(args)
+    return c.let_both(*c.aligned(*args), lambda a, b: _difference(a, b, precision))
+
+
+def _difference(a, b, precision):
+    kind = base(a.t)
     if kind != "Time" and precision in ("year", "month"):
         f = f"year({v(b)}) - year({v(a)})" if precision == "year" else f"(year({v(b)}) - year({v(a)})) * 12 + month({v(b)}) - month({v(a)})"
     elif precision == "week":
@@ -532,7 +544,11 @@ def difference(args, precision):
 
 @op("DurationBetween")
 def duration(args, precision):
-    a, b, kind = _pair(args)
+    return c.let_both(*c.aligned(*args), lambda a, b: _duration(a, b, precision))
+
+
+def _duration(a, b, precision):
+    kind = base(a.t)
     if kind != "Time" and precision == "year":
         key = lambda e: f"(month({v(e)}) * 100 + dayofmonth({v(e)}))"
         diff = f"year({v(b)}) - year({v(a)})"
@@ -553,6 +569,10 @@ _STEPS = {"year": ("years", "a"), "month": ("months", "mo"), "week": ("weeks", "
 
 def add_temporal(a: E, q: E, sign: int) -> E:
     """Point plus a quantity in calendar units or wk, d, h, min, s, ms; whole units of the point's precision; null past the ends."""
+    return c.let_both(a, q, lambda x, y: _add_temporal(x, y, sign))
+
+
+def _add_temporal(a: E, q: E, sign: int) -> E:
     kind = base(a.t)
     n = f"cast(({q}).value as bigint)" if sign > 0 else f"(- cast(({q}).value as bigint))"
     unit = f"({q}).unit"
@@ -629,6 +649,8 @@ def make_interval(low: E, high: E, low_closed: bool, high_closed: bool) -> E:
     if t == "Any":
         return null(("Interval", "Integer"))
     low, high = coerce(low, t), coerce(high, t)
+    if not t.endswith("!") and max(len(low.sql), len(high.sql)) >= c.LONG:
+        return c.let_both(low, high, lambda x, y: make_interval(x, y, low_closed, high_closed))
     lo = low if low_closed else step(low, 1)
     hi = high if high_closed else step(high, -1)
     lc = "true" if low_closed else f"{low} is not null"
@@ -644,11 +666,15 @@ OPS["ToClosed"] = lambda args, _: args[0]
 
 
 def start(i: E) -> E:
+    if not i.sql.startswith("named_struct") and len(i.sql) >= c.LONG:
+        return c.let(i, start)
     low = part(i, "low")
     return E(f"case when {low} is null and ({i}).lc then {extreme(low.t, False)} else {low} end", low.t) if not i.sql.startswith("named_struct") else low
 
 
 def end(i: E) -> E:
+    if not i.sql.startswith("named_struct") and len(i.sql) >= c.LONG:
+        return c.let(i, end)
     high = part(i, "high")
     return E(f"case when {high} is null and ({i}).hc then {extreme(high.t, True)} else {high} end", high.t) if not i.sql.startswith("named_struct") else high
 
@@ -1129,8 +1155,12 @@ _STAMP = r"^(\\d{4})(?:-(\\d\\d)(?:-(\\d\\d))?)?(?:T(?:(\\d\\d)(?::(\\d\\d)(?::(
 _CLOCK = r"^T?(\\d\\d)(?::(\\d\\d)(?::(\\d\\d)(?:\\.(\\d{1,3})\\d*)?)?)?(Z|[+-]\\d\\d:\\d\\d)?$"
 
 
-def _groups(a: E, pattern: str, n: int) -> list[str]:
-    return [f"nullif(regexp_extract({a}, '{pattern}', {k}), '')" for k in range(1, n + 1)]
+def _groups(a: E, pattern: str, n: int, body) -> E:
+    """body(groups of the pattern), each group taken once."""
+    g = fresh("g")
+    found = c.let(a, lambda x: E("array(" + ", ".join(f"nullif(regexp_extract({x}, '{pattern}', {k}), '')" for k in range(1, n + 1)) + ")", ("List", "String")))
+    out = body(*(f"{g}[{k}]" for k in range(n)))
+    return E(f"transform(array({found}), {g} -> {out})[0]", out.t, out.p)
 
 
 @op("ToDate")
@@ -1139,7 +1169,10 @@ def to_date(args, _):
     if isinstance(a.t, str) and base(a.t) in TEMPORAL:
         return OPS["DateFrom"]([a], None)
     a = coerce(a, "String")
-    y, m, d = _groups(a, _DATE_PATTERN, 3)
+    return _groups(a, _DATE_PATTERN, 3, _date_of)
+
+
+def _date_of(y, m, d):
     point = f"try_cast(concat({y}, '-', coalesce({m}, '01'), '-', coalesce({d}, '01')) as date)"
     return _if_point(temporal("Date", point, f"case when {m} is null then 1 when {d} is null then 2 else 3 end"))
 
@@ -1155,7 +1188,10 @@ def to_date_time(args, _):
     if isinstance(a.t, str) and base(a.t) in TEMPORAL:
         return coerce(a, "DateTime")
     a = coerce(a, "String")
-    y, mo, d, h, mi, s, ms, z = _groups(a, _STAMP, 8)
+    return _groups(a, _STAMP, 8, _date_time_of)
+
+
+def _date_time_of(y, mo, d, h, mi, s, ms, z):
     zone = f"case when {z} is null then null when {z} = 'Z' then 0 else (case when {z} like '-%' then -1 else 1 end) * (cast(substring({z}, 2, 2) as int) * 60 + cast(substring({z}, 5, 2) as int)) end"
     point = f"try_cast(concat({y}, '-', coalesce({mo}, '01'), '-', coalesce({d}, '01'), ' ', coalesce({h}, '00'), ':', coalesce({mi}, '00'), ':', coalesce({s}, '00'), '.', rpad(coalesce({ms}, '0'), 3, '0'), coalesce({z}, 'Z')) as timestamp)"
     level = f"case when {mo} is null then 1 when {d} is null then 2 when {h} is null then 3 when {mi} is null then 4 when {s} is null then 5 when {ms} is null then 6 else 7 end"
@@ -1170,7 +1206,10 @@ def to_time(args, _):
     if isinstance(a.t, str) and base(a.t) == "Time":
         return a
     a = coerce(a, "String")
-    h, mi, s, ms, _z = _groups(a, _CLOCK, 5)
+    return _groups(a, _CLOCK, 5, _time_of)
+
+
+def _time_of(h, mi, s, ms, _z):
     ok = f"cast({h} as int) < 24 and coalesce(cast({mi} as int), 0) < 60 and coalesce(cast({s} as int), 0) < 60"
     point = f"case when {ok} then ((cast({h} as int) * 60 + coalesce(cast({mi} as int), 0)) * 60 + coalesce(cast({s} as int), 0)) * 1000 + coalesce(cast(rpad({ms}, 3, '0') as int), 0) end"
     return _if_point(temporal("Time", point, f"case when {mi} is null then 4 when {s} is null then 5 when {ms} is null then 6 else 7 end"))
@@ -1253,8 +1292,7 @@ def convert(e: E, t) -> E:
     """convert e to t."""
     if e.t == t or isinstance(e.t, str) and base(e.t) == t:
         return e
-    f = OPS.get(f"To{t}")
-    return f([e], None) if f else coerce(e, t)
+    return call(f"To{t}", [e]) if f"To{t}" in OPS else coerce(e, t)
 
 
 # --- terminology -----------------------------------------------------------

@@ -17,10 +17,12 @@ def coded_in(df: DataFrame, column: E, codes: DataFrame) -> DataFrame:
     if column.t == "Code":
         on = (F.lower(F.expr(f"({column}).code")) == F.col("__code")) & (F.expr(f"coalesce(({column}).system, '') = ''") | (F.lower(F.expr(f"({column}).system")) == F.col("__system")))
         return df.join(codes, on, "left_semi")
-    keyed = df.withColumn("__row", F.expr("uuid()"))
     listed = f"({column}).codes" if column.t == "Concept" else column.sql
-    hits = keyed.selectExpr("__row", f"explode({listed}) as __c").join(codes, F.expr("lower(__c.code) = __code and lower(__c.system) = __system"), "left_semi").select("__row").distinct()
-    return keyed.join(hits, "__row", "left_semi").drop("__row")
+    # membership hangs on the listed codes alone: their text is the key, which a lost partition gives again
+    keyed = df.withColumn("__codes", F.expr(f"to_json({listed})"))
+    each = keyed.selectExpr("__codes", f"{listed} as __all").distinct().selectExpr("__codes", "explode(__all) as __c")
+    hits = each.join(codes, F.expr("lower(__c.code) = __code and (coalesce(__c.system, '') = '' or lower(__c.system) = __system)"), "left_semi").select("__codes").distinct()
+    return keyed.join(hits, "__codes", "left_semi").drop("__codes")
 
 
 def collapse(df: DataFrame, item: E, per: E | None) -> DataFrame:
@@ -71,10 +73,10 @@ def _edge(last: bool):
         if not keys:
             return (f"last({value})" if last else f"first({value})"), value.t, None
         turned = keys[0][1] != last
-        if len(keys) == 1:
+        if all(d == keys[0][1] for _, d in keys):
             # nulls come first going up: the smallest, so they are kept apart from the key
-            key = keys[0][0]
-            return f"{'max_by' if turned else 'min_by'}({value}, struct({key} is not null as n, {key} as k))", value.t, None
+            parts = ", ".join(f"{key} is not null as n{i}, {key} as k{i}" for i, (key, _) in enumerate(keys))
+            return f"{'max_by' if turned else 'min_by'}({value}, struct({parts}))", value.t, None
         return (f"try_element_at({_sorted(value, keys)}, -1)" if last else f"get({_sorted(value, keys)}, 0)"), value.t, None
 
     return f

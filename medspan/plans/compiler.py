@@ -306,6 +306,9 @@ class Compiler:
                 given = {n: a if isinstance(a.t, tuple) and a.t[0] == "Row" else coerce(a, self.named_type(t)) if not (isinstance(a.t, str) and base(a.t) == t) else a for (n, t), a in zip(operands, args, strict=True)}
             except TypeFault:
                 continue
+            if body is None and name in self.externals:
+                t, f = self.externals[name]
+                return E(f"{f}({', '.join(map(str, given.values()))})", t)
             if body is None:
                 raise TypeFault(f"external function {name} is not registered")
             return self.nested(lambda b=body, g=given: self.expr(b, self.globals(scope) | g))
@@ -318,6 +321,9 @@ class Compiler:
         before = name == "before"
         point = (lib.end(a) if before else lib.start(a)) if is_interval(a.t) else a
         edge = (lib.start(b) if before else lib.end(b)) if is_interval(b.t) else b
+        return c.let_both(point, edge, lambda x, y: self.offset(x, y, q, before, relative, inclusive, precision))
+
+    def offset(self, point, edge, q, before, relative, inclusive, precision):
         far = lib.call("Subtract" if before else "Add", [edge, q])
         if relative is None:
             return lib.call("SameAs", [point, far], precision)

@@ -18,7 +18,7 @@ from medspan.functions import core as c
 from medspan.functions import library as lib
 from medspan.functions.core import E, TypeFault, base, coerce, is_interval, is_list, part
 from medspan.operators import rows as row_ops
-from medspan.plans.compiler import Compiler, Library
+from medspan.plans.compiler import _AGES, Compiler, Library
 from medspan.sources.model import Model, field_columns, field_value, source_of
 
 
@@ -43,7 +43,7 @@ class Population(Compiler):
         library = text if isinstance(text, Library) else Library(text, include)
         codes = model.value_sets if isinstance(model.value_sets, dict) else {}
         super().__init__(library, parameters, now, codes, externals)
-        self.model, self.done, self.spine, self.attached, self.quiet = model, {}, None, {}, 0
+        self.model, self.done, self.spine, self.attached, self.pending, self.quiet = model, {}, None, {}, {}, 0
 
     # -- results
     def evaluate(self, *names: str) -> DataFrame:
@@ -52,14 +52,16 @@ class Population(Compiler):
         prefix = "Patient"
         base_ = self.model.resources[self.model.context]
         self.spine = base_.frame.selectExpr(f"{key} as ctx", *[x for n, (e, _) in base_.fields.items() for x in field_columns(f"{prefix}__{n}", e)])
-        self.attached = {}
+        self.attached, self.pending = {}, {}
         scope = {prefix: self.model.scope(self.model.context, prefix), "$context": self.model.scope(self.model.context, prefix)}
         out = []
         for n in names:
             tree = self.library.tree["defines"][n]
             rows = self.row_set(tree, scope)
-            e = self.aggregate("ToList", rows, tree) if rows is not None else self.expr(tree, scope)
+            e = self.aggregate("ToList", rows, tree, tree) if rows is not None else self.expr(tree, scope)
             out.append(f"{e} as `{n}`")
+        for rows, columns in self.pending.values():
+            self.spine = self.spine.join(rows.df.groupBy("ctx").agg(*columns), "ctx", "left")
         return self.spine.selectExpr("ctx", *out)
 
     def row_frame(self, name: str) -> DataFrame:
@@ -82,7 +84,7 @@ class Population(Compiler):
         if tree[0] == "call" and tree[1] in _AGGREGATES and len(tree[2]) == 1 and len(tree) <= 4:
             got = self.row_set(tree[2][0], scope)
             if got is not None:
-                return self.aggregate(tree[1], got, tree)
+                return self.aggregate(tree[1], got, tree, tree[2][0])
         if tree[0] == "query" and tree[1]["aggregate"]:
             got = self.row_set(("query", tree[1] | {"aggregate": None, "sort": None}), scope, keep=True)
             if got is not None:
@@ -90,7 +92,7 @@ class Population(Compiler):
         if tree[0] in ("retrieve", "query") or tree[0] == "call" and tree[1] in _ROW_CALLS or tree[0] == "ref" and tree[1] not in scope and tree[1] in self.library.tree["defines"]:
             got = self.row_set(tree, scope)
             if got is not None:
-                return self.aggregate("ToList", got, tree)
+                return self.aggregate("ToList", got, tree, tree)
         return None
 
     # -- row-sets
@@ -224,13 +226,28 @@ class Population(Compiler):
 
     def with_context(self, df, q, inner):
         """Joins the context's own columns where the query names them."""
-        text = repr((q["lets"], q["links"], q["where"], q["return"]))
-        if "Age" not in text and "'Patient'" not in text:
+        if not self.names_context((q["lets"], q["links"], q["where"], q["return"], q["sort"]), inner):
             return df, inner
         r = self.model.resources[self.model.context]
         own = r.frame.selectExpr(f"{r.fields[self.model.key][0]} as ctx", *[x for n, (e, _) in r.fields.items() for x in field_columns(f"Patient__{n}", e)])
         return df.join(own, "ctx"), inner
 
+    def names_context(self, tree, scope) -> bool:
+        """Whether a tree refers to the context's row, itself, by an age or through what it refers to."""
+        if isinstance(tree, dict):
+            return any(self.names_context(x, scope) for x in tree.values())
+        if not isinstance(tree, (tuple, list)):
+            return False
+        if len(tree) > 1 and tree[0] == "ref" and isinstance(tree[1], str):
+            return tree[1] == "Patient" or tree[1] not in scope and self.nested(lambda: self.names_context(self.library.tree["defines"].get(tree[1]), {}))
+        if len(tree) > 2 and tree[0] == "call":
+            if tree[1] in _AGES and not tree[1].startswith("Calculate"):
+                return True
+            bodies = [body for _, body, *_ in self.library.tree["functions"].get(tree[1], [])]
+            if self.nested(lambda: self.names_context(bodies, {})):
+                return True
+        return any(self.names_context(x, scope) for x in tree)
+
     def quietly(self, tree, scope) -> E:
         """An expression over the columns at hand, without plans of its own."""
         self.quiet += 1
@@ -316,6 +333,8 @@ class Population(Compiler):
             a, b = self.plain(first), self.plain(second)
             item = a.item
             if name == "Union":
+                if isinstance(item.t, tuple) and item.t[0] == "Row" and isinstance(b.item.t, tuple) and b.item.t[0] == "Row":
+                    item = E(item.sql, ("Row", tuple((dict(b.item.t[1]) | dict(item.t[1])).items())))
                 return Rows(a.df.unionByName(b.df, allowMissingColumns=True).distinct(), item, kind=first.kind)
             return Rows(a.df.distinct().join(b.df.distinct(), a.df.columns, "left_semi") if name == "Intersect" else a.df.distinct().join(b.df, a.df.columns, "left_anti"), item, kind=first.kind)
         if name == "Distinct":
@@ -340,8 +359,9 @@ class Population(Compiler):
     def plain(self, rows: Rows) -> Rows:
         """Rows with only their own columns."""
         if isinstance(rows.item.t, tuple) and rows.item.t[0] == "Row":
-            df = rows.df.selectExpr("ctx", *[x for n, e in rows.item.t[1] for x in field_columns(n, source_of(e))])
-            return Rows(df, E(rows.item.sql, ("Row", tuple((n, field_value(n, source_of(e), e.t)) for n, e in rows.item.t[1]))), kind=rows.kind)
+            fields = [(n, replace(e, raw=None)) for n, e in rows.item.t[1]]
+            df = rows.df.selectExpr("ctx", *[x for n, e in fields for x in field_columns(n, source_of(e))])
+            return Rows(df, E(rows.item.sql, ("Row", tuple((n, field_value(n, source_of(e), e.t)) for n, e in fields))), kind=rows.kind)
         return Rows(rows.df.selectExpr("ctx", f"{rows.item} as value"), E("value", rows.item.t, rows.item.p), kind=rows.kind)
 
     def keys(self, rows: Rows) -> list[tuple[str, bool]]:
@@ -354,22 +374,22 @@ class Population(Compiler):
             return E("named_struct(" + ", ".join(f"{c.text(n)}, {e}" for n, e in fields) + ")", ("Tuple", tuple((n, e.t) for n, e in fields)))
         return rows.item
 
-    def aggregate(self, name: str, rows: Rows, tree) -> E:
-        """A column of the spine with an aggregate of a row-set."""
+    def aggregate(self, name: str, rows: Rows, tree, source) -> E:
+        """A column of the spine with an aggregate of a row-set; aggregates of one source are taken together."""
         mark = f"{name}|{tree!r}"
         if mark not in self.attached:
+            rows, columns = self.pending.setdefault(repr(source), (rows, []))
             value = self.packed(rows)
             column = f"a{len(self.attached)}"
             how, t, empty = row_ops.AGGREGATES[name](value, self.keys(rows))
-            got = rows.df.groupBy("ctx").agg(F.expr(how).alias(column))
-            self.spine = self.spine.join(got, "ctx", "left")
+            columns.append(F.expr(how).alias(column))
             self.attached[mark] = E(f"coalesce({column}, {empty})" if empty else column, t)
         return self.attached[mark]
 
     def fold(self, rows: Rows, tree, scope) -> E:
         """The aggregate clause: a fold over the context's sorted list."""
         q = tree[1]
-        items = self.aggregate("ToList", rows, ("fold", repr(tree)))
+        items = self.aggregate("ToList", rows, ("fold", repr(tree)), ("fold", repr(tree)))
         alias = q["sources"][0][1]
         return Compiler.x_query(self, ("query", {"sources": [(("given",), alias)], "lets": [], "links": [], "where": None, "return": None, "distinct": False, "aggregate": q["aggregate"], "sort": None}), scope | {"$given": items})
 

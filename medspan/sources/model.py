@@ -13,24 +13,36 @@ from medspan.functions.core import E
 _PAIR = re.compile(r"named_struct\('low', `([^`]+)`, 'high', `([^`]+)`, 'lc', true, 'hc', true\)")
 
 
+_CAST = re.compile(r"cast\((\w+) as decimal\(28,8\)\)")
+
+
 def field_columns(name: str, sql) -> list[str]:
-    """Select items that give a field a name."""
+    """Select items that give a field a name; a number that is cast keeps the column it is cast from beside it."""
     if isinstance(sql, tuple):
         return [f"{sql[0]} as `{name}__low`", f"{sql[1]} as `{name}__high`"]
-    return [f"{sql} as `{name}`"]
+    raw = raw_of(sql)
+    return [f"{sql} as `{name}`"] + ([f"{raw} as `{name}__raw`"] if raw else [])
 
 
 def field_value(name: str, sql, t) -> E:
     """The field as an expression over those columns."""
     if isinstance(sql, tuple):
         return E(f"named_struct('low', `{name}__low`, 'high', `{name}__high`, 'lc', true, 'hc', true)", t)
-    return E(f"`{name}`", t)
+    return E(f"`{name}`", t, raw=f"`{name}__raw`" if raw_of(sql) else None)
+
+
+def raw_of(sql) -> str | None:
+    """The column that a number is cast from."""
+    if isinstance(sql, E):
+        return sql.raw
+    found = _CAST.fullmatch(sql)
+    return found[1] if found else None
 
 
 def source_of(e: E):
-    """The SQL of an expression as field_columns takes it."""
+    """An expression as field_columns takes it."""
     pair = _PAIR.fullmatch(e.sql)
-    return (f"`{pair[1]}`", f"`{pair[2]}`") if pair else e.sql
+    return (f"`{pair[1]}`", f"`{pair[2]}`") if pair else e
 
 
 @dataclass

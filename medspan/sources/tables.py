@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from medspan.functions.core import DECIMAL, E
-from medspan.sources.model import Model, Resource
+from medspan.sources.model import Model, Resource, raw_of
 
 
 def dec(column: str) -> str:
@@ -13,7 +13,8 @@ def dec(column: str) -> str:
 
 
 def stamp(column: str) -> str:
-    return f"cast({column} as timestamp)"
+    """A timestamp column: the tables' stamps carry no zone and are read as UTC, so that predicates reach the scan."""
+    return column
 
 
 #: table: (key columns, names with SQL and type)
@@ -29,13 +30,22 @@ COLUMNS = {
 }
 
 
+#: Columns of stamps without a zone.
+STAMPS = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    path = f"{sf_dir}/{table}.parquet"
+    found = spark.read.parquet(path)
+    if table not in STAMPS or found.schema[STAMPS[table]].dataType.simpleString() == "timestamp":
+        return found
+    schema = ", ".join(f"`{f.name}` {'timestamp' if f.name == STAMPS[table] else f.dataType.simpleString()}" for f in found.schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def scope(table: str) -> dict[str, E]:
     """The table's columns by name."""
-    return {n: E(sql, t) for n, (sql, t) in COLUMNS[table][1].items()}
+    return {n: E(sql, t, raw=raw_of(sql)) for n, (sql, t) in COLUMNS[table][1].items()}
 
 
 def clinical(spark: SparkSession, sf_dir: str, value_sets=None) -> Model:

@@ -193,8 +193,17 @@ def test_libraries_include_and_define(spark):
 def test_external_functions_run(spark):
     spark.udf.register("twice_py", lambda x: None if x is None else 2 * x, "int")
     compiler = Compiler(Library("library L define function Twice(x Integer) returns Integer: external"), externals={"Twice": ("Integer", "twice_py")})
-    compiler.library.tree["functions"].clear()
     assert spark.range(1).selectExpr(f"{compiler.compile('Twice(4)')}").first()[0] == 8
+    with pytest.raises(TypeFault):
+        Compiler(compiler.library).compile("Twice(4)")
+
+
+@pytest.mark.parametrize("expression, step", [("ToDate('2014')", " + 1 year"), ("ToDateTime('2014-02')", " - 3 days"), ("Interval[ToDateTime('2013'), ToDateTime('2015-01')]", " union Interval[ToDateTime('2014'), ToDateTime('2016')]")])
+def test_text_grows_by_addition(expression, step):
+    """Partial dates: each step adds the same length of text, and little of it."""
+    sizes = [len(Compiler().compile(expression + step * n).sql) for n in range(1, 7)]
+    more = [b - a for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
+    assert max(more) < 1.1 * min(more) < 40_000
 
 
 def test_table_is_complete():

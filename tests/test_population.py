@@ -45,11 +45,21 @@ def test_no_plan_is_cartesian(spark, name):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_filters_reach_the_scan(spark):
+@pytest.mark.parametrize("cond, pushed", [("E.price > 200000", "GreaterThanOrEqual(o_totalprice,199999.999999)"), ("E.price = 5.5", "LessThanOrEqual(o_totalprice,5.500001)"), ("E.date >= @1998-01-01T00:00:00.000", "GreaterThanOrEqual(o_orderdate,1998-01-01 00:00:00.0)"), ("E.status = 'F'", "EqualTo(o_orderstatus,F)")])
+def test_filters_reach_the_scan(spark, cond, pushed):
+    plan = Population(tables.clinical(spark, SF), f'library L define "D": [Encounter] E where {cond}').row_frame("D").select("ctx")._jdf.queryExecution().executedPlan().toString()
+    found = plan[plan.index("PushedFilters") :].split("]")[0]
+    assert pushed in found, found
+
+
+def test_a_scan_reads_only_what_is_used(spark):
     plan = registry.queries()["rows_retrieve_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double>" in plan
-    dates = Population(tables.clinical(spark, SF), 'library L define "D": [Encounter] E where E.date >= @1998-01-01T00:00:00.000').row_frame("D").select("ctx")
-    assert "o_orderdate" in dates._jdf.queryExecution().executedPlan().toString()
+
+
+def test_aggregates_over_one_row_set_share_it(spark):
+    plan = registry.queries()["measure_min_max"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("o_totalprice") and plan.count("Relation [o_orderkey") == 1 and plan.count("Join") == 1
 
 
 def test_entry(spark):
