@@ -10,12 +10,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _base(spark) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, else a temporary one, where there are no other machines."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint"))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that spark.checkpoint.dir names; where it is unset, as in tests, in a temporary one."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint()
+    """Cuts lineage: the rows as a table written in the shared folder, until release."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of checkpoint that no later plan reads."""
+    for t in tables:
+        remove(t.sparkSession, t.written_at)
+
+
+def remove(spark, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def runs(batches, keys: list[str]):
@@ -43,8 +66,7 @@ def runs(batches, keys: list[str]):
 
 def shared_folder(spark) -> str:
     """A new folder beside the checkpoints, which all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    return f"{_base(spark)}/tables-{uuid.uuid4().hex}"
 
 
 def bounded_batches(spark, rows: int = 2000) -> None:

@@ -7,6 +7,8 @@ prefix hash over 64-bit integers (wrapping), finished by an avalanche mix.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 MASK = (1 << 64) - 1
@@ -109,13 +111,27 @@ def word_spans(buffer: np.ndarray, is_space: np.ndarray = SPACE) -> tuple[np.nda
     return at[::2], at[1::2]
 
 
+#: Length from which a word's hash is a keyed digest: over long words the polynomial, modulo a power of two, can be made to collide.
+LONG = 64
+
+
+def word_hash(buffer: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the words [a, b)."""
+    if not len(a):
+        return np.zeros(0, np.uint64)
+    out = mix(span_hash(prefix_hash(buffer), a, b))
+    for i in np.flatnonzero(b - a > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(buffer[a[i] : b[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def words(parts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each text and the total): words are runs without ASCII white space."""
     buffer, starts, ends = flat(parts, b" ")
     if lower:
         buffer = LOWER[buffer]
     a, b = word_spans(buffer)
-    hashes = mix(span_hash(prefix_hash(buffer), a, b)) if len(a) else np.zeros(0, np.uint64)
+    hashes = word_hash(buffer, a, b)
     first = np.append(np.searchsorted(a, starts), len(a))
     return hashes, first
 

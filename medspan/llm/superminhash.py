@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medspan.llm import _text as T
-from medspan.llm._spark import checkpoint, runs
+from medspan.llm._spark import checkpoint, release, runs
 
 U = np.uint64
 
@@ -40,7 +40,7 @@ U = np.uint64
 @dataclass(frozen=True)
 class NearDup:
     """slots of a signature in bands of rows; percent: least intersection per union;
-    width of shingles in words; block: members of a bucket in a block; margin: how far
+    width of shingles in words; block: members of a bucket in a block; hub: pairs of one document in a task; margin: how far
     under the threshold an estimate may be (over five standard deviations)."""
 
     bands: int = 32
@@ -48,6 +48,7 @@ class NearDup:
     percent: int = 75
     width: int = 5
     block: int = 1024
+    hub: int = 256
     margin: float = 0.2
 
     @property
@@ -132,10 +133,15 @@ def _describe(how: NearDup):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
-    """Those of pairs (a, b) whose whole shingle sets are similar enough."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    """Those of pairs (a, b, n) whose whole shingle sets are similar enough; n: about how many pairs a has.
+
+    The text of b comes first, one for each pair; the text of a comes last, once for each ``hub``
+    pairs, which its salts deal over tasks."""
+    pairs = pairs.withColumn("salts", F.ceil(F.col("n") / how.hub).cast("int"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    heads = pairs.select("a", "salts").distinct().join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    dealt = pairs.join(right, "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    both = dealt.join(heads, ["a", "salts", "salt"]).select("a", "b", "text_a", "text_b")
 
     def run(batches):
         for batch in batches:
@@ -162,12 +168,14 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         far = labels.select(F.col("u").alias("v"), F.col("label").alias("far"))
         met = edges.join(far, "v").groupBy("u").agg(F.min("far").alias("near"))
-        hooked = labels.join(met, "u").select("u", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        hooked = labels.select("u", "label").join(met, "u").select("u", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("u").alias("label"), F.col("label").alias("next"))
         new = checkpoint(hooked.join(jump, "label", "left").select("u", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
+        release(labels)
         if new.where("label <> old").isEmpty():
+            release(edges)
             return new.select(F.col("u").alias("node"), F.col("label").alias("component"))
-        labels = new.select("u", "label")
+        labels = new
 
 
 def _shingle_sets(how: NearDup):
@@ -240,21 +248,24 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _hidden_links(members: DataFrame, described: DataFrame, texts: DataFrame, comp: DataFrame, how: NearDup) -> DataFrame:
-    """Links (a, b) that the buckets of several components still hold."""
+    """Links (a, b) that the buckets of several components still hold, as a table."""
     known = members.where("n > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     known = checkpoint(known.join(mixed, "key", "left_semi"))
     wanted = known.select("rep").distinct()
     facts = described.join(wanted, "rep").join(texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_shingle_sets(how), "rep long, shingles binary").dropDuplicates(["rep"]), "rep")
+    facts = checkpoint(facts)
     parts = F.ceil(F.col("n") / how.block).cast("int")
     dealt = (
         known.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
         .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "component")
-        .join(checkpoint(facts), "rep")
+        .join(facts, "rep")
     )
     width = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return dealt.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_join_components(how), "a long, b long").distinct()
+    found = checkpoint(dealt.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_join_components(how), "a long, b long").distinct())
+    release(known, facts)
+    return found
 
 
 def near_duplicates(documents: DataFrame, how: NearDup = NearDup(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,16 +281,17 @@ def near_duplicates(documents: DataFrame, how: NearDup = NearDup(), doc_id: str
     buckets = met.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = checkpoint(met.join(buckets, "key").select("key", "n", "pivot", "rep"))
     # 2: pairs with the least of each bucket
-    tried = checkpoint(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+    tried = checkpoint(members.where("rep <> pivot").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(F.max("n").alias("n")))
     wanted = checkpoint(members.select(F.col("rep").alias("doc_id")).distinct())
     texts = checkpoint(docs.join(wanted, "doc_id"))
     links = checkpoint(verified(tried, texts, how))
     comp = components(links)
     # 3: what buckets of several components still hold
     facts = reps.select("rep", "sig", "keys")
-    more = checkpoint(_hidden_links(members, facts, texts, comp, how))
+    more = _hidden_links(members, facts, texts, comp, how)
     if not more.isEmpty():
         comp = components(links.unionByName(more))
+    release(members, tried, wanted, texts, links, more)
     found = comp.withColumnRenamed("node", "rep")
     of = classes.join(found, "rep", "left").select("fp0", "fp1", "n_shingles", F.coalesce("component", "rep").alias("found"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.least("found", "doc_id"), "doc_id"))
