@@ -9,7 +9,7 @@ contaminated if tiles cover at least ``coverage`` of an item's words, in whateve
 order they stand. An item under ``least`` words is a seed as a whole.
 
 The items are a query set: they are broadcast in blocks of at most ``block`` bytes,
-each block against all texts.
+each block against all texts, one block in a worker at a time.
 
 Defined results: a null or empty text, or a text without words, is clean; null
 items and items without words match nothing; repeated items each count; repeated
@@ -18,12 +18,15 @@ rows get the same result; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from medspan.llm import _text as T
 
@@ -49,7 +52,7 @@ def word_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buffer, starts, _ = T.flat(parts, b" ")
     a, b = T.word_spans(buffer, _GAP)
     first = np.append(np.searchsorted(a, starts), len(a))
-    return (T.mix(T.span_hash(T.prefix_hash(T.LOWER[buffer]), a, b)) if len(a) else np.zeros(0, np.uint64)), first
+    return T.word_hash(T.LOWER[buffer], a, b), first
 
 
 def _windows(tokens: list[int], marked: list[bool], size: int):
@@ -71,7 +74,10 @@ def _windows(tokens: list[int], marked: list[bool], size: int):
 
 
 def tiles(item: list[int], text: list[int], least: int = 5, first: int = 20) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (start in item, start in text, words), longest first."""
+    """Greedy string tiling: (start in item, start in text, words), longest first; of equal lengths the first in the item, then in the text.
+
+    A pass finds the unmarked runs of at least size words, by hash, where they begin, and marks
+    them from the longest down; of a run that meets a mark the free parts go back among the rest."""
     least = max(1, least)
     marked_item, marked_text = [False] * len(item), [False] * len(text)
     out: list[tuple[int, int, int]] = []
@@ -80,42 +86,65 @@ def tiles(item: list[int], text: list[int], least: int = 5, first: int = 20) ->
         at: dict[int, list[int]] = {}
         for i, h in _windows(item, marked_item, size):
             at.setdefault(h, []).append(i)
-        found, longest = [], 0
-        if at:
-            for j, h in _windows(text, marked_text, size):
-                for i in at.get(h, ()):
-                    n = 0
-                    while i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n] and not marked_item[i + n] and not marked_text[j + n]:
-                        n += 1
-                    if n >= size:
-                        found.append((-n, i, j))
-                        longest = max(longest, n)
+        found = []
+        for j, h in _windows(text, marked_text, size) if at else ():
+            for i in at.get(h, ()):
+                if i and j and item[i - 1] == text[j - 1] and not marked_item[i - 1] and not marked_text[j - 1]:
+                    continue  # within a run that begins earlier
+                n = 0
+                while i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n] and not marked_item[i + n] and not marked_text[j + n]:
+                    n += 1
+                if n >= size:
+                    found.append((-n, i, j))
+        longest = -min(found, default=(0, 0, 0))[0]
         if longest > 2 * size:
             size = longest
             continue
-        found.sort()
-        for n, i, j in found:
-            n = -n
-            if any(marked_item[i : i + n]) or any(marked_text[j : j + n]):
-                continue  # what is left of it is found again at a shorter length
-            marked_item[i : i + n] = marked_text[j : j + n] = [True] * n
-            out.append((i, j, n))
-        if size == least and not found:
-            break
-        if size > 2 * least:
-            size //= 2
-        elif size > least:
-            size = least
-        elif not found:
+        heapq.heapify(found)
+        while found:
+            n, i, j = heapq.heappop(found)
+            run = 0
+            free = [not (marked_item[i + k] or marked_text[j + k]) for k in range(-n)]
+            if all(free):
+                marked_item[i : i - n] = marked_text[j : j - n] = free
+                out.append((i, j, -n))
+                continue
+            for k, ok in enumerate([*free, False]):
+                if ok:
+                    run += 1
+                    continue
+                if run >= size:
+                    heapq.heappush(found, (-run, i + k - run, j + k - run))
+                run = 0
+        if size == least or all(marked_item):
             break
-    return sorted(out, key=lambda x: (-x[2], x[0], x[1]))
+        size = size // 2 if size > 2 * least else least
+    return out
+
+
+def plain_tiles(item: list[int], text: list[int], least: int = 5) -> list[tuple[int, int, int]]:
+    """The same by its definition: the longest unmarked common run, again and again."""
+    free_item, free_text, out = [True] * len(item), [True] * len(text), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(text)):
+                n = 0
+                while i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n] and free_item[i + n] and free_text[j + n]:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        if n < max(1, least):
+            return out
+        free_item[i : i + n] = free_text[j : j + n] = [False] * n
+        out.append((i, j, n))
 
 
 class Items:
     """A block of test items with their seeds."""
 
-    def __init__(self, ids: list, texts: list, how: Tiling):
-        self.how = how
+    def __init__(self, ids: list, texts: list, how: Tiling, kind: pa.DataType):
+        self.how, self.kind = how, kind
         hashes, first = word_hashes(T.encode(texts))
         self.ids = ids
         self.words = [hashes[first[i] : first[i + 1]] for i in range(len(ids))]
@@ -181,36 +210,50 @@ def _blocks(benchmark: DataFrame, how: Tiling) -> list[Items]:
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for i in range(n):
         got = sorted(((r["item_id"], r["text"]) for r in rows.where(part == i).toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        yield Items([a for a, _ in got], [b for _, b in got], how)
+        yield Items([a for a, _ in got], [b for _, b in got], how, to_arrow_type(benchmark.schema["item_id"].dataType))
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, how: Tiling = Tiling(), keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """The columns keep (all by default) with items: (item_id, coverage) of the test items that a text holds, largest coverage first."""
-    keep = [c for c in (keep or documents.columns) if c != "items"]
+def contamination(documents: DataFrame, benchmark: DataFrame, how: Tiling = Tiling(), keep: list[str] | None = None, text: str = "text", name: str = "items") -> DataFrame:
+    """The columns keep (all by default, but for one called name) with name: (item_id, coverage) of the test items that a text holds, largest coverage first.
+
+    Items of one block are matched as the texts are read. Those of several blocks are
+    matched block by block, each in stages of its own, and what is found meets the texts by their digest."""
+    keep = [c for c in (keep or documents.columns) if c != name]
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    rows = documents.select(F.col(text).alias("__text"), F.expr(f"cast(array() as array<struct<item_id:{kind},coverage:double>>)").alias("items"), *[F.col(c) for c in keep])
-    fields = [f.simpleString().split(":", 1) for f in documents.select(*keep).schema]
-    schema = f"`__text` string, items array<struct<item_id:{kind},coverage:double>>, " + ", ".join(f"`{n}` {t}" for n, t in fields)
-    for block in _blocks(benchmark, how):
-        rows = rows.mapInArrow(_match(documents.sparkSession.sparkContext.broadcast(block)), schema)
-    order = F.expr("array_sort(items, (a, b) -> case when a.coverage > b.coverage then -1 when a.coverage < b.coverage then 1 when a.item_id < b.item_id then -1 when a.item_id > b.item_id then 1 else 0 end)")
-    return rows.select(*keep, order.alias("items"))
+    found = f"array<struct<item_id:{kind},coverage:double>>"
+    sorted_ = F.expr("array_sort(__found, (a, b) -> case when a.coverage > b.coverage then -1 when a.coverage < b.coverage then 1 when a.item_id < b.item_id then -1 when a.item_id > b.item_id then 1 else 0 end)")
+    context = documents.sparkSession.sparkContext
+    blocks = [context.broadcast(b) for b in _blocks(benchmark, how)]
+    if len(blocks) == 1:
+        rows = documents.select(F.col(text).alias("__text"), F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in keep]).alias("__row"))
+        out = rows.mapInArrow(_match(blocks[0]), f"__row {rows.schema['__row'].dataType.simpleString()}, __found {found}")
+        return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in keep], sorted_.alias(name))
+    key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    texts = documents.select(F.col(text).alias("__text"), key.alias("__key"))
+    parts = [texts.mapInArrow(_match(b, True), f"__key string, __found {found}").withColumn("__block", F.lit(i)) for i, b in enumerate(blocks)]
+    every = functools.reduce(DataFrame.unionByName, parts).groupBy("__key", "__block").agg(F.first("__found").alias("__found")).groupBy("__key").agg(F.flatten(F.collect_list("__found")).alias("__found"))
+    rows = documents.select(key.alias("__key"), F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in keep]).alias("__row")).join(every, "__key", "left")
+    rows = rows.withColumn("__found", F.coalesce("__found", F.expr(f"cast(array() as {found})")))
+    return rows.select(*[F.col(f"__row.`{c}`").alias(c) for c in keep], sorted_.alias(name))
+
 
+def _match(shared, only_found: bool = False):
+    """Rows of a text and another column to that column and the text's items; only_found: rows that have some."""
 
-def _match(shared):
     def run(batches):
         for batch in batches:
             parts = T.encode(batch.column(0).cast(pa.binary()).to_pylist())
             found: list = []
             for i, j in T.blocks(parts, 2 << 20):
                 found += shared.value.matches(parts[i:j])
-            before = batch.column(1).to_pylist()
-            items = [b + [{"item_id": i, "coverage": c} for i, c in f] for b, f in zip(before, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, batch.schema.field(1).type), *batch.columns[2:]], names=batch.schema.names)
+            items = pa.array([[{"item_id": i, "coverage": c} for i, c in f] for f in found], pa.list_(pa.struct([("item_id", shared.value.kind), ("coverage", pa.float64())])))
+            out = pa.RecordBatch.from_arrays([batch.column(1), items], [batch.schema.names[1], "__found"])
+            yield out.filter(pa.array([bool(f) for f in found], pa.bool_())) if only_found else out
 
     return run
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, how: Tiling = Tiling(), text: str = "text") -> DataFrame:
-    """The rows whose text holds no test item."""
-    return contamination(documents, benchmark, how, text=text).where(F.size("items") == 0).select(*documents.columns)
+    """The rows whose text holds no test item, with all their columns."""
+    name = "_" * (1 + max(map(len, documents.columns)))  # no column's name
+    return contamination(documents, benchmark, how, text=text, name=name).where(F.size(name) == 0).select(*[F.col(f"`{c}`") for c in documents.columns])
