@@ -47,8 +47,8 @@ def op3_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url by the rules, else by host reputation."""
     pages = _table(spark, sf_dir, "pages")
-    outcomes = url_reputation.weak_outcomes(pages, _table(spark, sf_dir, "labels"))
-    return url_reputation.judge_urls(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+    out = url_reputation.judge_urls(pages, url_reputation.thin_page())
+    return out.select("page_id", "host", "path", "rule", "verdict", F.round("bad_rate", 6).alias("bad_rate"), F.round("bad_bound", 6).alias("bad_bound"))
 
 
 def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,17 +138,17 @@ SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGIN
 FROM d LEFT JOIN j USING (doc_id)""",
     "op4_url_reputation": r"""
 WITH place AS (
-  SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
-p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, html, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(substr(rest, length(regexp_extract(rest, '^([^/?#]*)', 1)) + 1), '^([^?#]*)', 1) AS path FROM place),
-r AS (SELECT *, CASE
+r AS (SELECT page_id, host, path, CASE
   WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
   WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
   WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM p),
-l AS (SELECT doc_id, max(CASE WHEN quality = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
-o AS (SELECT host, CASE WHEN regexp_matches(host, '(^|[.\-])(casino|pills|adult|bets|spam|ads)([.\-]|$)') THEN 1 ELSE bad END AS bad FROM p LEFT JOIN l ON page_id = doc_id),
+o AS (SELECT host, CAST(len(regexp_extract_all(html, '(?i)<a[ >]')) * 100
+  > length(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<[^>]*>', '', 'g'), '[ \t\r\n]+', '', 'g')) AS INT) AS bad FROM p),
 h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS bad, array_to_string(string_split(regexp_replace(host, ':\d*$', ''), '.')[-2:], '.') AS domain,
   string_split(regexp_replace(host, ':\d*$', ''), '.')[-1] AS suffix FROM o WHERE bad IS NOT NULL AND host <> '' GROUP BY 1),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2),
@@ -170,7 +170,7 @@ j AS (SELECT r.*, coalesce(hm, dm, sm, p0) AS m, coalesce(hv, dv, sv, 0) AS v FR
   LEFT JOIN dm ON dm.domain = array_to_string(string_split(regexp_replace(r.host, ':\d*$', ''), '.')[-2:], '.')
   LEFT JOIN sm ON sm.suffix = string_split(regexp_replace(r.host, ':\d*$', ''), '.')[-1], t)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN greatest(0, m - sqrt(v)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM j""",
+  WHEN greatest(0, m - sqrt(v)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict, round(m, 6) AS bad_rate, round(greatest(0, m - sqrt(v)), 6) AS bad_bound FROM j""",
     "op6_superminhash": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]

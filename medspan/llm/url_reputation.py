@@ -11,6 +11,10 @@ Defined results: a null url, or one without ``://``, has empty host and path
 and is judged by the overall rate; repeated rows are judged alike and each is
 returned; an empty table gives no rows; other columns are not looked at.
 Outcomes with a null url or label don't count.
+
+Outcomes are an input: rows of (url, bad), or a column over the pages themselves.
+``thin_page`` is such a column: a page with more links than one for each hundred
+visible characters is a bad outcome; a page without html has none.
 """
 
 from __future__ import annotations
@@ -20,11 +24,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medspan.llm._spark import checkpoint
+
 #: (host, path, verdict); a rule fits its host and all subdomains.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Words in a host that mark a page as a bad outcome without a label.
-BAD_WORDS = ("casino", "pills", "adult", "bets", "spam", "ads")
-
 
 @dataclass(frozen=True)
 class Reputation:
@@ -87,14 +90,11 @@ def _strength(counts: DataFrame, parent: str, reputation: Reputation) -> float:
     return float(min(reputation.most, max(reputation.least, scale / excess - 1)))
 
 
-def host_reputation(outcomes: DataFrame, reputation: Reputation = Reputation()) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+def host_reputation(sums: DataFrame, reputation: Reputation = Reputation()) -> tuple[DataFrame, DataFrame, DataFrame, float]:
     """Posterior tables by host, domain and suffix, and the overall rate.
 
-    outcomes: columns host and bad (0 or 1). Every level is summed from the one
-    below, so that only the first step reads the outcomes themselves.
-    """
-    hosts = outcomes.where(F.col("bad").isNotNull() & (F.col("host") != "")).groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
-    hosts = hosts.withColumns(_levels(F.col("host")))
+    sums: host, n (outcomes) and bad (bad ones). Every level is summed from the one below."""
+    hosts = sums.where((F.col("n") > 0) & (F.col("host") != "")).select("host", "n", "bad").withColumns(_levels(F.col("host")))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
@@ -104,7 +104,7 @@ def host_reputation(outcomes: DataFrame, reputation: Reputation = Reputation())
     domains = domains.join(suffixes, "suffix")
     domains = _posterior(domains, "suffix_mean", _strength(domains, "suffix_mean", reputation)).select("domain", F.col("mean").alias("domain_mean"), F.col("var").alias("domain_var"))
     hosts = hosts.join(domains, "domain")
-    hosts = _posterior(hosts, "domain_mean", _strength(hosts, "domain_mean", reputation)).select("host", F.col("mean").alias("host_mean"), F.col("var").alias("host_var"), F.col("n").alias("host_n"))
+    hosts = _posterior(hosts, "domain_mean", _strength(hosts, "domain_mean", reputation)).select("host", F.col("mean").alias("host_mean"), F.col("var").alias("host_var"))
     return hosts, domains, suffixes, overall
 
 
@@ -114,38 +114,47 @@ def _posterior(counts: DataFrame, parent: str, strength: float) -> DataFrame:
     return counts.withColumns({"mean": a / (a + b), "var": a * b / ((a + b) * (a + b) * (a + b + 1))})
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, reputation: Reputation = Reputation(), page_id: str = "page_id", url: str = "url", salts: int = 32) -> DataFrame:
+def thin_page(html: str = "html", least: int = 100) -> Column:
+    """1 for a page with more links than one for each ``least`` visible characters, 0 for others, null without html."""
+    visible = F.length(F.regexp_replace(F.regexp_replace(F.col(html), r"(?is)<script.*?</script>|<style.*?</style>|<[^>]*>", ""), r"[ \t\r\n]+", ""))
+    return (F.regexp_count(F.col(html), F.lit(r"(?i)<a[ >]")) * least > visible).cast("double")
+
+
+def host_sums(pages: DataFrame, outcomes: DataFrame | Column, url: str = "url") -> DataFrame:
+    """host, pages, n (outcomes) and bad of every host of pages, and of the outcomes' other hosts, as a table: the only step that reads outcomes."""
+    if isinstance(outcomes, Column):
+        rows = pages.select(F.col(url).alias("url"), F.lit(1).alias("pages"), outcomes.cast("double").alias("bad"))
+    else:
+        rows = pages.select(F.col(url).alias("url"), F.lit(1).alias("pages"), F.lit(None).cast("double").alias("bad")).unionByName(outcomes.select("url", F.lit(0).alias("pages"), F.col("bad").cast("double").alias("bad")))
+    placed = with_place(rows).groupBy("host").agg(F.sum("pages").alias("pages"), F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad"))
+    return checkpoint(placed)
+
+
+def judge_urls(pages: DataFrame, outcomes: DataFrame | Column, rules=RULES, reputation: Reputation = Reputation(), page_id: str = "page_id", url: str = "url", hot: int = 1000) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, bad_rate, bad_bound.
 
-    outcomes: columns url and bad. The distinct hosts of the pages are joined to
-    the posterior tables; a page meets its host's row by (host, salt), so that a
-    host with a third of all pages is dealt over the salts.
-    """
-    tables = host_reputation(with_place(outcomes, "url").select("host", F.col("bad").cast("double").alias("bad")), reputation)
-    hosts, domains, suffixes, overall = tables
-    placed = with_place(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))).select("page_id", "host", "path")
-    seen = placed.select("host").distinct().withColumns(_levels(F.col("host")))
+    outcomes: rows of url and bad, or a column bad over the pages; pages are read once for
+    the sums by host and once to be judged. Hosts with over 1 / hot of all pages, at most
+    so many, are broadcast; the pages of all others meet their host's row by a join."""
+    sums = host_sums(pages, outcomes, url)
+    hosts, domains, suffixes, overall = host_reputation(sums, reputation)
     mean, var = F.coalesce("host_mean", "domain_mean", "suffix_mean", F.lit(overall)), F.coalesce("host_var", "domain_var", "suffix_var", F.lit(0.0))
     known = (
-        seen.join(hosts, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left")
-        .select("host", mean.alias("bad_rate"), F.greatest(F.lit(0.0), mean - reputation.z * F.sqrt(var)).alias("bad_bound"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        sums.where("pages > 0").select("host", "pages").withColumns(_levels(F.col("host")))
+        .join(hosts, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left")
+        .select("host", "pages", mean.alias("bad_rate"), F.greatest(F.lit(0.0), mean - reputation.z * F.sqrt(var)).alias("bad_bound"))
     )
+    many = (sums.agg(F.sum("pages")).first()[0] or 0) / hot
+    common = known.where(F.col("pages") > many).select("host", F.col("bad_rate").alias("hot_rate"), F.col("bad_bound").alias("hot_bound"))
+    others = known.where(F.col("pages") <= many).select(F.col("host").alias("key"), F.col("bad_rate").alias("own_rate"), F.col("bad_bound").alias("own_bound"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    salted = placed.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))
-    return salted.join(known, ["host", "salt"], "left").select(
+    placed = with_place(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))).select("page_id", "host", "path")
+    # no host holds a "#": pages of common hosts are spread over keys that meet nothing
+    key = F.when(F.col("hot_rate").isNotNull(), F.concat(F.lit("#"), F.pmod(F.xxhash64("page_id", "path"), F.lit(1 << 16)).cast("string"))).otherwise(F.col("host"))
+    judged = placed.join(F.broadcast(common), "host", "left").withColumn("key", key).join(others, "key", "left")
+    judged = judged.withColumns({"bad_rate": F.coalesce("hot_rate", "own_rate"), "bad_bound": F.coalesce("hot_bound", "own_bound")})
+    return judged.select(
         "page_id", "host", "path", rule.alias("rule"),
         F.coalesce(verdict, F.when(F.col("bad_bound") > reputation.threshold, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         "bad_rate", "bad_bound",
     )
-
-
-def weak_outcomes(pages: DataFrame, labels: DataFrame | None = None, page_id: str = "page_id", url: str = "url", words=BAD_WORDS) -> DataFrame:
-    """Labelled page outcomes (url, bad): 1 if the host holds one of words as a part;
-    else, where there is a label of the page's id, whether quality is 0 or toxic 1."""
-    host = with_place(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")))
-    hit = F.col("host").rlike(r"(^|[.\-])(" + "|".join(words) + r")([.\-]|$)")
-    if labels is None:
-        return host.select("url", F.when(hit, F.lit(1)).otherwise(F.lit(0)).alias("bad"))
-    known = labels.groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("bad"))
-    return host.join(known, host["page_id"] == known["doc_id"], "left").select("url", F.when(hit, F.lit(1)).otherwise(F.col("bad")).alias("bad"))
