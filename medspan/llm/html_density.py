@@ -54,7 +54,7 @@ _WORDS = re.compile(
 #: Parts of a name that say what an element goes without or holds, not what it is.
 _MODIFIED = re.compile(r"(?:^|[_-])(?:no|non|not|with|without|has|have|hide)[_-]", re.I)
 _COMMENT = re.compile(r"comment\w*|disqus|respond|reply|replies", re.I)
-#: Words that name content as well; within an article or main they only tell lists of links.
+#: Words that name content as well; within an article or main they, and names with other parts, only tell lists of links.
 _DOUBTFUL = re.compile(r"notices?|related|recommend\w*|discussion|copyright|legal|disclaimer|alert|social|skip", re.I)
 _ADVERT = re.compile(r"ads?|advert\w*|adsense|sponsor\w*", re.I)
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|page-header|site-header|topbar|top-bar)(?:$|[\s_-])", re.I)
@@ -91,75 +91,110 @@ def _kind(tag: str, attributes: str, inside: bool) -> int:
         return HARD if tag == "article" and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", f"{got.get('class', '')} {got.get('id', '')}", re.I) else CONTENT
     names = [n for n in f"{got.get('class', '')} {got.get('id', '')}".split() if not _MODIFIED.search(n)]
     words = [m[1] for n in names for m in _WORDS.finditer(n)]
+    whole = any(all(map(_WORDS.fullmatch, re.split("[-_]+", n.strip("-_")))) for n in names)  # else a name holds other words as well
     if tag != "form" and any(map(_ADVERT.fullmatch, names)):
         return ADVERT
     if any(map(_COMMENT.fullmatch, words)):
         return COMMENTS
     if tag == "form" or not inside and any(map(_HEADER.search, names)):
         return NAMED
-    return CONTENT if not words else DOUBTFUL if all(map(_DOUBTFUL.fullmatch, words)) else NAMED
+    return CONTENT if not words else DOUBTFUL if not whole or all(map(_DOUBTFUL.fullmatch, words)) else NAMED
+
+
+#: Groups of CLOSES, and the scope of paragraphs, by tag: (number, whether the tag bounds the group).
+_GROUPS: dict[str, list[tuple[int, bool]]] = {}
+_GROUP_OF: dict[str, int] = {}
+for _tag, (_what, _stop) in [*CLOSES.items(), ("p", ({"p"}, _SCOPE))]:
+    _number = _GROUP_OF.setdefault(f"{sorted(_what)} {sorted(_stop)}", len(_GROUP_OF))
+    _GROUP_OF[_tag] = _number
+    for _t in (*_what, *_stop):
+        if (_number, _t in _stop) not in _GROUPS.setdefault(_t, []):
+            _GROUPS[_t].append((_number, _t in _stop))
+_BOUNDS = frozenset({"table", "article", "main", "body"})
+
+
+class _Open:
+    """The open elements. What an end tag or an optional end closes is found without walking up."""
+
+    def __init__(self, root: Node):
+        self.path = [root]
+        self.at: dict[str, list[int]] = {}
+        self.bounds: list[int] = []
+        self.groups: list[list[list[int]]] = [[[]] for _ in range(len(_GROUP_OF))]
+
+    def push(self, node: Node) -> None:
+        place, tag = len(self.path), node.tag
+        self.path.append(node)
+        self.at.setdefault(tag, []).append(place)
+        if tag in _BOUNDS:
+            self.bounds.append(place)
+        for g, stop in _GROUPS.get(tag, ()):
+            if stop:
+                self.groups[g].append([])
+            else:
+                self.groups[g][-1].append(place)
+
+    def cut(self, place: int) -> None:
+        """Closes all from a place on."""
+        while len(self.path) > place:
+            tag = self.path.pop().tag
+            self.at[tag].pop()
+            if tag in _BOUNDS:
+                self.bounds.pop()
+            for g, stop in _GROUPS.get(tag, ()):
+                (self.groups[g] if stop else self.groups[g][-1]).pop()
+
+    def within(self, *tags: str) -> bool:
+        return any(self.at.get(t) for t in tags)
+
+    def close(self, tag: str) -> None:
+        """An end tag; one of an inline element doesn't reach past a table, article, main or body."""
+        places = self.at.get(tag)
+        if places and (tag in BLOCK or not self.bounds or self.bounds[-1] <= places[-1]):
+            self.cut(places[-1])
 
 
 def parse(page: str) -> Node:
     """The element tree; children are nodes and strings (raw, with character references)."""
     root = Node("html", None)
-    body = current = root
+    body, open_ = None, _Open(root)
+    path = open_.path
     at, end = 0, len(page)
-    article = 0
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None:
-            current.children.append(page[at:])
+            path[-1].children.append(page[at:])
             break
         if m.start() > at:
-            current.children.append(page[at : m.start()])
+            path[-1].children.append(page[at : m.start()])
         at = m.end()
         name = m[2]
         if name is None:
             if m[0].startswith("<![CDATA["):
-                current.children.append(_html.escape(m[0][9:].removesuffix("]]>")))
+                path[-1].children.append(_html.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag = name.lower()
         if m[1]:
-            if tag == "p" or tag == "br":
-                if tag == "br" or not _open(current, "p"):
-                    current.children.append(Node(tag, current))
-                    continue
-            node = current
-            while node is not root and node.tag != tag:
-                if node.tag in ("table", "article", "main", "body") and tag not in BLOCK:
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                current = node.parent
+            if tag == "br" or tag == "p" and not open_.groups[_GROUP_OF["p"]][-1]:
+                path[-1].children.append(Node(tag, path[-1]))
+            else:
+                open_.close(tag)
             continue
         if tag in ("html", "body"):
-            if tag == "body" and body is root:
-                while current.tag == "head":
-                    current = current.parent
+            if tag == "body" and body is None:
                 body = Node("body", root)
                 root.children.append(body)
-                current = body
+                open_.cut(1)
+                open_.push(body)
             continue
-        if current.tag == "head" and tag not in ("meta", "link", "base", "title", "style", "script", "noscript", "template"):
-            current = current.parent
-        if tag in _CLOSE_P:
-            p = _open(current, "p")
-            if p is not None:
-                current = p.parent
-        if tag in CLOSES:
-            what, stop = CLOSES[tag]
-            node, found = current, None
-            while node is not root and node.tag not in stop:
-                if node.tag in what:
-                    found = node
-                node = node.parent
-            if found is not None:
-                current = found.parent
-        inside = _open_any(current)
-        node = Node(tag, current, _kind(tag, m[3], inside))
-        current.children.append(node)
+        if path[-1].tag == "head" and tag not in ("meta", "link", "base", "title", "style", "script", "noscript", "template"):
+            open_.cut(len(path) - 1)
+        if tag in _CLOSE_P and (p := open_.groups[_GROUP_OF["p"]][-1]):
+            open_.cut(p[-1])
+        if tag in CLOSES and (same := open_.groups[_GROUP_OF[tag]][-1]):
+            open_.cut(same[0])
+        node = Node(tag, path[-1], _kind(tag, m[3], open_.within("article", "main")))
+        path[-1].children.append(node)
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
         if tag in RAW:
@@ -170,27 +205,10 @@ def parse(page: str) -> Node:
             if at == 0:
                 at = end
             continue
-        current = node
+        open_.push(node)
     return root
 
 
-def _open(node: Node | None, tag: str) -> Node | None:
-    while node is not None and node.tag not in _SCOPE:
-        if node.tag == tag:
-            return node
-        node = node.parent
-    return None
-
-
-def _open_any(node: Node | None) -> bool:
-    """Whether an article or main element is open."""
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
-
-
 def _order(root: Node) -> list[Node]:
     """Nodes that can be content, parents first."""
     out, stack = [], [root]
@@ -245,7 +263,11 @@ def core(root: Node) -> list[Node]:
         if n.parent in marks or n.tag in ("article", "main"):
             marks[n] = marks.get(n.parent, n)
     outermost = [n for n in marks if marks[n] is n]
-    above = sum(m.chars for m in outermost if _within(m, best))
+    inner = {best}  # the core and what it holds
+    for n in nodes:
+        if n.parent in inner:
+            inner.add(n)
+    above = sum(m.chars for m in outermost if m in inner)
     if best in marks or above * 3 >= best.chars:  # they bound the core, unless it lies elsewhere or they hold little of it
         dense = {m for n, m in marks.items() if n.density >= threshold and n.link_chars * 3 < n.chars}
         own = marks.get(best)
@@ -263,12 +285,6 @@ def core(root: Node) -> list[Node]:
     return [chosen]
 
 
-def _within(node: Node | None, outer: Node) -> bool:
-    while node is not None and node is not outer:
-        node = node.parent
-    return node is outer
-
-
 def text_of(node: Node) -> str:
     """Blocks of a subtree in page order."""
     out: list[str] = []
