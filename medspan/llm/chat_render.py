@@ -33,7 +33,15 @@ from pyspark.sql import functions as F
 Render = Callable[[list[tuple[str, str]]], str]
 _ESCAPE = re.compile(r"([\\<\[])")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
-_PROBES = ("⁂a", "⁂⁂b⁂")
+
+
+def probes(turns: list[tuple[str, str]]) -> tuple[str, str]:
+    """Two texts with a mark that stands nowhere in the turns."""
+    mark, k = "⁂", 0
+    while any(mark in x for turn in turns for x in turn):
+        k += 1
+        mark = f"⁂{k}⁂"
+    return f"{mark}a", f"{mark}{mark}b{mark}"
 
 
 def escape(text: str) -> str:
@@ -108,24 +116,25 @@ def _common(a: str, b: str) -> int:
     return lo
 
 
-def _frame(render: Render, before: list[tuple[str, str]], role: str, base: str) -> tuple[int, int] | None:
-    """Lengths of what stands before and after the text of a turn that follows before; null if the turn shows no text."""
-    first, second = (render([*before, (role, p)]) for p in _PROBES)
+def _frame(render: Render, before: list[tuple[str, str]], turn: tuple[str, str], base: str) -> tuple[str, str] | None:
+    """What stands before and after the text of a turn that follows before; null if the turn shows no text."""
+    one, two = probes([*before, turn])
+    first, second = render([*before, (turn[0], one)]), render([*before, (turn[0], two)])
     if not (first.startswith(base) and second.startswith(base)):
         return None
     first, second = first[len(base) :], second[len(base) :]
-    at, end = first.find(_PROBES[0]), second.rfind(_PROBES[1])
-    if at < 0 or second.find(_PROBES[1]) != at:
+    at, end = first.find(one), second.rfind(two)
+    if at < 0 or second.find(two) != at:
         return None
-    return at, len(second) - end - len(_PROBES[1])
+    return second[:at], second[end + len(two) :]
 
 
-def locate(render: Render, turns: list[tuple[str, str]], frames: dict | None = None, append_only: bool = True) -> tuple[str, list[Span | None], int | None]:
+def locate(render: Render, turns: list[tuple[str, str]], frames: dict | None = None) -> tuple[str, list[Span | None], int | None]:
     """(output, span of each turn, first turn whose rendering rewrote history or null).
 
-    frames: keeps frames by (role, previous role) between conversations; a frame
-    is used only if the turn's new output has it. append_only: for a rewriting
-    template, spans are searched in the whole output.
+    frames: keeps frames by (role, previous role) between conversations; a frame is
+    used only if it is, with the turn's text as it stands, the turn's whole new output; else
+    the turn is probed. For a rewriting template, spans are searched in the whole output.
     """
     frames = {} if frames is None else frames
     out, spans, rewritten = "", [], None
@@ -135,36 +144,29 @@ def locate(render: Render, turns: list[tuple[str, str]], frames: dict | None = N
             rewritten = i
         if rewritten is None:
             key = (role, turns[i - 1][0] if i else None, i == 0)
-            piece = new[len(out) :]
             frame = frames.get(key)
-            if frame is None:
-                frame = frames[key] = _frame(render, turns[:i], role, out)
-            if frame is not None and not _fits(piece, frame, text):
-                frame = _frame(render, turns[:i], role, out)
-            if frame is None:
-                spans.append(None)
-            else:
-                spans.append(Span(len(out), len(new), len(out) + frame[0], len(new) - frame[1]))
+            if frame is None or frame[0] + text + frame[1] != new[len(out) :]:
+                frame = _frame(render, turns[:i], (role, text), out)
+                if frame is not None:
+                    frames[key] = frame
+            spans.append(Span(len(out), len(new), len(out) + len(frame[0]), len(new) - len(frame[1])) if frame is not None else None)
         out = new
     if rewritten is not None:
         spans = _search(render, turns, out)
     return out, spans, rewritten
 
 
-def _fits(piece: str, frame: tuple[int, int], text: str) -> bool:
-    return len(piece) >= sum(frame) and (not text or len(piece) > sum(frame))
-
-
 def _search(render: Render, turns: list[tuple[str, str]], out: str) -> list[Span | None]:
     """Spans in the final output of a template that rewrites history: the part that changes when one turn's text is replaced."""
     spans: list[Span | None] = []
+    mark, _ = probes([*turns, (out, "")])
     for i, (role, text) in enumerate(turns):
-        other = [*turns[:i], (role, _PROBES[0] + text + _PROBES[0]), *turns[i + 1 :]]
+        other = [*turns[:i], (role, mark + text + mark), *turns[i + 1 :]]
         changed = render(other)
-        grown = len(changed) - len(out) - 2 * len(_PROBES[0])
-        at = changed.find(_PROBES[0])
-        end = changed.rfind(_PROBES[0]) - len(_PROBES[0])
-        if at < 0 or end < at or grown < 0 or changed[:at] != out[:at] or changed[end + 2 * len(_PROBES[0]) :] != out[end:]:
+        grown = len(changed) - len(out) - 2 * len(mark)
+        at = changed.find(mark)
+        end = changed.rfind(mark) - len(mark)
+        if at < 0 or end < at or grown < 0 or changed[:at] != out[:at] or changed[end + 2 * len(mark) :] != out[end:]:
             spans.append(None)
         else:
             spans.append(Span(at, end, at, end))
