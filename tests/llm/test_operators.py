@@ -1,14 +1,17 @@
 """Each operator against brute force, a round trip or held-out cases, with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from medspan.llm import _text, chat_render, decontaminate, html_density, lang_crf, media_jpeg, quality_ftrl, sentencepiece_trie, suffix_dedup, superminhash, url_reputation
 from medspan.llm.queries import SENTENCEPIECE_MODEL
@@ -76,6 +79,20 @@ def test_near_duplicates_in_blocks(spark):
     assert got == {d: c for d, (_, c) in brute_components(list(enumerate(texts))).items()}
 
 
+def test_pairs_of_a_hub_are_dealt(spark):
+    texts = near_texts(random.Random(7)) + [f"{words(random.Random(8), 60)} {i}" for i in range(40)]
+    got = {r.doc_id: r.component_id for r in superminhash.near_duplicates(frame(spark, texts), superminhash.NearDup(hub=3)).collect()}
+    assert got == {d: c for d, (_, c) in brute_components(list(enumerate(texts))).items()}
+
+
+def test_long_words_of_a_morse_pattern_differ():
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    x, _ = _text.words([a.encode(), b.encode(), a.encode()])
+    assert x[0] == x[2] != x[1]
+
+
 def test_near_duplicates_edges(spark):
     assert superminhash.near_duplicates(frame(spark, [])).collect() == []
     got = superminhash.near_duplicates(frame(spark, ["a b", "a b", "a b"], [5, 5, None])).collect()
@@ -184,6 +201,42 @@ def test_tiles_are_greedy_and_disjoint():
         assert (got[0][2] if got else 0) == (longest if longest >= 2 else 0)
 
 
+def test_tiles_match_their_definition():
+    rng = random.Random(14)
+    for _ in range(400):
+        size = rng.choice((2, 3, 6))
+        a, b = [[rng.randrange(size) for _ in range(rng.randrange(1, 30))] for _ in range(2)]
+        least, first = rng.randrange(1, 4), rng.randrange(1, 9)
+        assert decontaminate.tiles(a, b, least, first) == decontaminate.plain_tiles(a, b, least)
+
+
+def test_tiles_of_one_word_take_no_cube():
+    start = time.process_time()
+    assert decontaminate.tiles([7] * 400, [7] * 2000) == [(0, 0, 400)]
+    assert decontaminate.tiles([7, 8] * 200, [7] * 2000) == []
+    assert time.process_time() - start < 2
+
+
+def test_coverage_matches_whole_texts(spark):
+    """Items against whole texts by the definition of tiles, in one block and in several, beside a column called items."""
+    rng = random.Random(15)
+    items = [words(rng, rng.randrange(3, 40), 30) for _ in range(12)] + ["same " * 30]
+    texts = [" ".join(rng.choice([words(rng, 8, 30), " ".join(rng.choice(items).split()[k : k + rng.randrange(2, 30)])]) for k in range(rng.randrange(1, 9))) for _ in range(60)] + [None, "same " * 900, "same " * 12]
+    want = {}
+    for d, t in enumerate(texts):
+        own = (t or "").split()
+        got = [(i, sum(x[2] for x in decontaminate.plain_tiles(item.split(), own, min(5, len(item.split())))) / len(item.split())) for i, item in enumerate(items) if d < 60 or item[0] == "s"]
+        want[d] = sorted((i, round(c, 6)) for i, c in got if c >= 0.5)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    docs = frame(spark, texts)
+    for block in (1 << 20, 300):
+        how = decontaminate.Tiling(block=block)
+        got = {r.doc_id: sorted((i.item_id, round(i.coverage, 6)) for i in r["items"]) for r in decontaminate.contamination(docs, bench, how, keep=["doc_id"]).collect()}
+        assert got == want
+        kept = decontaminate.decontaminate(docs, bench, how)
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted((tuple(r) for r in docs.collect() if not want[r.doc_id]), key=str)
+
+
 def test_decontamination_finds_reordered_passages(spark):
     rng = random.Random(5)
     item = words(rng, 40).split()
@@ -255,10 +308,11 @@ def test_places_and_rules(spark):
         "http://x.net/es/1": ("x.net", "/es/1", "net/es/"), "http://notexample.com/en/": ("notexample.com", "/en/", "com/"), "ftp://h.org?x://y/z": ("h.org", "", None), "no scheme": ("", "", None), None: ("", "", None), "": ("", "", None), "http://": ("", "", None), "a://b/c://d": ("b", "/c://d", None),
     }
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "page_id long, url string")
-    got = {r.page_id: r for r in url_reputation.judge_urls(pages, url_reputation.weak_outcomes(pages)).collect()}
+    none = spark.createDataFrame([], "url string, bad int")
+    got = {r.page_id: r for r in url_reputation.judge_urls(pages, none).collect()}
     assert {i: (r.host, r.path, r.rule) for i, r in got.items()} == dict(enumerate(cases.values()))
     empty = pages.limit(0)
-    assert url_reputation.judge_urls(empty, url_reputation.weak_outcomes(empty)).collect() == []
+    assert url_reputation.judge_urls(empty, none).collect() == url_reputation.judge_urls(empty, F.lit(1)).collect() == []
 
 
 def test_reputation_shrinks_to_parents(spark):
@@ -270,6 +324,28 @@ def test_reputation_shrinks_to_parents(spark):
     assert verdicts[2][1] < verdicts[3][1] < 0.9 and verdicts[4][1] > verdicts[5][1]
 
 
+def test_common_hosts_are_judged_like_others(spark):
+    """Broadcast or joined: the same verdicts, for repeated rows, null urls and clashing columns as well."""
+    rng = random.Random(6)
+    urls = [f"http://h{min(rng.randrange(40), rng.randrange(40))}.d{rng.randrange(3)}.org/{i}" for i in range(300)] + [None, "x"]
+    pages = spark.createDataFrame([(i // 2, u, float(u[7:9] in ("h1", "h2") or i % 9 == 0) if u else None, "clash") for i, u in enumerate(urls)], "page_id long, url string, wrong double, host string")
+
+    def judged(outcomes, hot=1000):
+        got = url_reputation.judge_urls(pages, outcomes, (), hot=hot).collect()
+        return sorted(((*r[:5], round(r.bad_rate, 9), round(r.bad_bound, 9)) for r in got), key=str)
+
+    wants = [judged(F.col("wrong"), hot) for hot in (1, 10, 10_000)]
+    assert wants[0] == wants[1] == wants[2] and len(wants[0]) == len(urls) and {x[4] for x in wants[0]} == {"allow", "block"}
+    outcomes = pages.select("url", F.col("wrong").alias("bad"))
+    assert judged(outcomes) == wants[0]
+
+
+def test_thin_pages(spark):
+    pages = {"<p>" + "word " * 20 + "<a href=x>l</a>": 1, None: None, "": 0, "<a href=x>l</a>": 1, "<script>var x = 1;</script>" + "word " * 80 + "<A\thref=x>l</A>": 0, "<p>" + "é" * 101 + "<a href=x></a>": 0, "plain": 0}
+    got = spark.createDataFrame([(h,) for h in pages], "html string").select(url_reputation.thin_page()).collect()
+    assert [r[0] for r in got] == [None if x is None else float(x) for x in pages.values()]
+
+
 # --- language --------------------------------------------------------------
 
 
@@ -550,6 +626,58 @@ def test_boxes_of_an_article_stay(name):
         assert html_density.main_text(f"<body><article>{ARTICLE}<div class={name}><a href=/1>One more page</a> <a href=/2>Another</a></div></article>") == TEXT
 
 
+@pytest.mark.parametrize("tag, name", [("section", "discussion"), ("div", "social-science"), ("div", "widget-text"), ("p", "notice-board"), ("p", "copyright-law"), ("table", "menu-prices")])
+def test_names_with_other_words_stay(tag, name):
+    inner = {"p": BOX[3:-4], "table": f"<tr><td>{BOX[3:-4]}"}.get(tag, BOX)
+    for outer in ("article", "main"):
+        assert html_density.main_text(f"<body><{outer}>{ARTICLE}<{tag} class='{name}'>{inner}</{tag}></{outer}>") == f"{TEXT} {BOX[3:-4]}"
+
+
+def test_deep_pages_are_linear():
+    start = time.process_time()
+    for page in ("<div>" * 100_000 + "deep", "<p>" + "<span>" * 50_000 + "<div>" * 50_000 + "deep", "<div>" * 30_000 + "<li>x" * 30_000, "<b><article>" + "<div>" * 30_000 + "x</b>" * 30_000, "<table><tr><td>" * 20_000 + "deep", "<div>" * 30_000 + "<article><p>some words</article>" * 10_000):
+        assert html_density.main_text(page)
+    assert time.process_time() - start < 30
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.recursive(st.text("abc  ", max_size=30), lambda inner: st.tuples(st.sampled_from(["div", "p", "a", "span"]), st.lists(inner, max_size=5)), max_leaves=25))
+def test_densities_match_their_formula(tree):
+    def page(x):
+        return x if isinstance(x, str) else f"<{x[0]}>{''.join(map(page, x[1]))}</{x[0]}>"
+
+    root = html_density.parse(f"<body>{page(tree)}</body>")
+    nodes = html_density.measure(root)
+
+    def below(n):
+        return [y for x in n.children if not isinstance(x, str) for y in (x, *below(x))]
+
+    def chars(n):
+        return sum(len(x.replace(" ", "")) if isinstance(x, str) else chars(x) for x in n.children)
+
+    def linked(n):
+        return chars(n) if n.tag == "a" else sum(linked(x) for x in n.children if not isinstance(x, str))
+
+    def density(n):
+        c, t, lc, lt = chars(n), max(1, len(below(n))), linked(n), max(1, sum(x.tag == "a" for x in below(n)))
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + linked(root) / max(1, chars(root)) * c + math.e)
+        odds = c / max(1, lc) * t / lt
+        # without links the base is 1, and a logarithm to it isn't defined: characters per tag stand alone
+        return c / t * math.log(odds, base) if base > 1.0001 and odds > 1 else c / t * (1e-3 if lc >= c else 1.0)
+
+    assert len(nodes) == 1 + len(below(root))
+    for n in nodes:
+        assert n.density == pytest.approx(density(n), rel=1e-6, abs=1e-9)
+        assert n.total == pytest.approx(sum(density(x) for x in n.children if not isinstance(x, str)), rel=1e-6, abs=1e-9)
+
+
+def test_clashing_columns_of_pages(spark):
+    pages = spark.createDataFrame([("t", 1, "u", f"<article>{ARTICLE}</article>", 9)], "text string, page_id long, url string, html string, __html int")
+    assert [tuple(r) for r in html_density.extract_text(pages).collect()] == [(1, "u", TEXT, len(TEXT))]
+
+
 def test_forms_comments_and_formulas():
     assert html_density.main_text(f"<body><form action=x><input type=hidden><div>{ARTICLE}</div></form>") == TEXT
     assert html_density.main_text(f"<body><form role=form id=aspnetForm><nav><a href=/>x</a></nav><article>{ARTICLE}</article><select><option>y</select></form>") == TEXT
@@ -589,6 +717,35 @@ def test_rewriting_template_is_detected():
     assert out[spans[0].text_start : spans[0].text_end] == "q" and out[spans[2].text_start : spans[2].text_end] == "next"
 
 
+def test_frames_that_count_turns():
+    def counted(turns):
+        return "".join(f"Turn {i + 1}{r}:{t}|" for i, (r, t) in enumerate(turns))
+
+    for render in (counted, lambda turns: "".join(f"{i + 1}{t}" for i, (_, t) in enumerate(turns))):
+        turns = [("user" if i % 2 else "assistant", f"{i}0 hello") for i in range(25)]
+        frames = {}
+        for _ in range(2):
+            out, spans, rewritten = chat_render.locate(render, turns, frames)
+            assert rewritten is None and [out[s.text_start : s.text_end] for s in spans] == [t for _, t in turns]
+
+
+def test_texts_that_hold_probes():
+    def last_only(turns):
+        return "".join(f"<{r}>{t if i + 1 == len(turns) or r != 'assistant' else t.split('|')[-1]}</{r}>" for i, (r, t) in enumerate(turns))
+
+    turns = [("user", "⁂a ⁂⁂b⁂"), ("assistant", "x|⁂⁂b⁂ ⁂0⁂"), ("user", "⁂1⁂"), ("assistant", "⁂a")]
+    out, spans, rewritten = chat_render.locate(last_only, turns)
+    assert rewritten == 2 and [out[s.text_start : s.text_end] for s in spans if s] == ["⁂a ⁂⁂b⁂", "⁂1⁂", "⁂a"]
+    out, spans, _ = chat_render.locate(chat_render.render_instruct, turns)
+    assert [out[s.text_start : s.text_end] for s in spans] == [chat_render.escape(t) for _, t in turns]
+
+
+def test_chat_empty_and_clashing(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "a", "x", 5)], "conv_id long, turn long, role string, text string, turns string, formatted int")
+    assert [r.formatted for r in chat_render.format_conversations(rows).collect()] == ["<s>[INST] a [/INST]"]
+    assert chat_render.format_conversations(rows.limit(0)).collect() == []
+
+
 def test_chat_frame(spark):
     rows = [(1, 1, "assistant", None), (1, 0, "user", "a"), (2, 0, None, "x"), (None, 0, "user", "n"), (3, 0, "user", "t"), (3, 0, "user", "t"), (4, 0, "user", "y" * 9000)]
     out = {r.conv_id: r for r in chat_render.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
