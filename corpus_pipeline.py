@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. Stages are written as Parquet and read again as
-the next one's docs. Columns beyond those of documents travel with their rows.
+the next one's docs, and deleted once that has written its own. Columns beyond those of documents travel with their rows.
 
 Defined results: null and empty texts have no language and go at the first stage;
 rows that share a doc_id count as one document in near-dedup and stay or go
@@ -73,4 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         out.write.mode("overwrite").parquet(path := f"{folder}/{i}_{name}")
         docs = spark.read.parquet(path)
+        if i:
+            _spark.remove(spark, f"{folder}/{i - 1}_{STAGES[i - 1][0]}")
     return docs
