@@ -48,7 +48,7 @@ def powers(base: int, n: int) -> np.ndarray:
 class Powers:
     """Power tables; those of up to KEEP entries stay for a worker's life, larger ones only while they are used."""
 
-    KEEP = 5 << 19
+    KEEP = 5 << 18
     up = np.ones(1, np.uint64)
     down = np.ones(1, np.uint64)
 

@@ -244,7 +244,7 @@ def _match(shared, only_found: bool = False):
         for batch in batches:
             parts = T.encode(batch.column(0).cast(pa.binary()).to_pylist())
             found: list = []
-            for i, j in T.blocks(parts, 2 << 20):
+            for i, j in T.blocks(parts, 1 << 20):
                 found += shared.value.matches(parts[i:j])
             items = pa.array([[{"item_id": i, "coverage": c} for i, c in f] for f in found], pa.list_(pa.struct([("item_id", shared.value.kind), ("coverage", pa.float64())])))
             out = pa.RecordBatch.from_arrays([batch.column(1), items], [batch.schema.names[1], "__found"])

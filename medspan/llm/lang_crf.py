@@ -259,7 +259,7 @@ def predict(texts: list, model: CrfModel) -> tuple[list[str], np.ndarray]:
     if not model.langs:
         return langs, scores
     sizes = [b"" if t is None else t for t in texts]
-    for i, j in T.blocks(sizes, 1 << 20):
+    for i, j in T.blocks(sizes, 1 << 19):
         buffer, a, b, first = tokens(texts[i:j])
         if not len(a):
             continue

@@ -211,7 +211,7 @@ def _parse(how: Passages, buckets: int, hot: np.ndarray):
         for batch in batches:
             parts = T.encode(batch.column(2).cast(pa.binary()).to_pylist())
             doc, key = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in T.blocks(parts, 2 << 20):
+            for i, j in T.blocks(parts, 1 << 20):
                 text, start, passages, trigger, digest = phrases(parts[i:j], how)
                 if len(hot) and len(trigger):
                     at = np.searchsorted(hot, trigger)
@@ -502,7 +502,7 @@ def hot_triggers(docs: DataFrame, how: Passages) -> np.ndarray:
     def run(batches):
         for batch in batches:
             parts = T.encode(batch.column(0).cast(pa.binary()).to_pylist())
-            for i, j in T.blocks(parts, 2 << 20):
+            for i, j in T.blocks(parts, 1 << 20):
                 _, _, _, trigger, digest = phrases(parts[i:j], how)
                 yield pa.RecordBatch.from_arrays([pa.array(trigger.view(np.int64)), pa.array(digest.view(np.int64))], ["trigger", "digest"])
 
@@ -530,7 +530,7 @@ def remove_repeats(documents: DataFrame, how: Passages = Passages(), doc_id: str
     parsed = docs.select("doc_id", "k", "text").mapInArrow(_parse(how, buckets, hot_triggers(docs, how)), schema)
     met = parsed.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(how), schema)
     found = met.groupBy("doc_id", "k").agg(F.collect_list(F.struct("bucket", "spans")).alias("found"))
-    looked = packed.join(found, ["doc_id", "k"]).select(*carried, "found").mapInArrow(_phrase_texts(how, buckets), schema)
+    looked = packed.join(found, ["doc_id", "k"]).select(*carried, "found").mapInArrow(_phrase_texts(how, 2 * buckets), schema)
     finer = looked.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_suffixes(how), schema)
     spans = finer.groupBy("doc_id", "k").agg(F.collect_list("spans").alias("all"))
     kept = ["doc_id", "k", "n_bytes", "no_id"] + ["row", "no_text"] * carry

@@ -110,7 +110,7 @@ def _describe(how: NearDup):
     def run(batches):
         for batch in batches:
             parts = T.encode(batch.column(1).cast(pa.binary()).to_pylist())
-            for i, j in T.blocks(parts, 2 << 20):
+            for i, j in T.blocks(parts, 1 << 20):
                 values, first = sets(parts[i:j], how.width)
                 size = np.diff(first)
                 cum = np.zeros((2, len(values) + 1), np.uint64)
@@ -149,7 +149,7 @@ def verified(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
             texts = T.encode(batch.column(2).cast(pa.binary()).to_pylist()), T.encode(batch.column(3).cast(pa.binary()).to_pylist())
             ok = np.zeros(batch.num_rows, bool)
             weights = [x + y for x, y in zip(*texts, strict=True)]
-            for i, j in T.blocks(weights, 2 << 20):
+            for i, j in T.blocks(weights, 1 << 20):
                 number = {t: k for k, t in enumerate(dict.fromkeys([*texts[0][i:j], *texts[1][i:j]]))}
                 values, first = sets(list(number), how.width)
                 parts = [values[first[k] : first[k + 1]] for k in range(len(number))]
@@ -184,7 +184,7 @@ def _shingle_sets(how: NearDup):
     def run(batches):
         for batch in batches:
             parts = T.encode(batch.column(1).cast(pa.binary()).to_pylist())
-            for i, j in T.blocks(parts, 2 << 20):
+            for i, j in T.blocks(parts, 1 << 20):
                 values, first = sets(parts[i:j], how.width)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["rep", "shingles"])
 
