@@ -165,7 +165,7 @@ class Compiler:
         return value if isinstance(value, E) else self.compile(value) if isinstance(value, str) else self.compile(repr(value))
 
     def value_set(self, url: str, name: str) -> E:
-        got = self.codes.get(url, self.codes.get(name))
+        got = self.codes.get(url, self.codes.get(url.partition("|")[0], self.codes.get(name)))
         if got is None:
             raise TypeFault(f"no value set {name}")
         items = ", ".join(f"named_struct('code', {c.text(code)}, 'system', {c.text(system) if system is not None else 'cast(null as string)'}, 'version', cast(null as string), 'display', cast(null as string))" for system, code in got)

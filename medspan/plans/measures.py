@@ -6,7 +6,7 @@ from medspan.plans.population import Population
 from medspan.plans.row_queries import shown
 from medspan.sources import tables
 
-#: name: (definition, SQL of its value by c_custkey, or None where rows come out) in one library.
+#: The library; then name: (definition, SQL of its value by c_custkey).
 HEAD = """
 library Measures version '1.0'
 using Tables version '1.0'
@@ -15,6 +15,9 @@ valueset "Urgent": 'urn:urgent'
 valueset "Actions": 'urn:actions'
 code "Purchase": 'purchase' from "Kinds"
 parameter "Measurement Period" Interval<DateTime> default Interval[@1996-01-01T00:00:00.000, @1997-12-31T23:59:59.999]
+context Unfiltered
+define "All Encounters": Count([Encounter])
+define "Top Price": Max([Encounter] E return all E.price)
 context Patient
 define "Encounters": [Encounter]
 define "Large Encounters": [Encounter] E where E.price > 200000
@@ -66,7 +69,7 @@ MEASURES = {
     "measure_first_sorted": ('First("Encounters" E sort by price, id).id', _by("arg_min(o_orderkey, (o_totalprice, o_orderkey))")),
     "measure_last_sorted": ('"Latest Encounter".id', _by("arg_max(o_orderkey, (o_orderdate, o_orderkey))")),
     "measure_take_sorted": ('Sum(Take(("Encounters" E sort by price desc, id), 2) T return all T.price)', "SELECT c_custkey AS ctx, v AS result FROM customer LEFT JOIN (SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS v FROM (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 2 GROUP BY 1) ON o_custkey = c_custkey"),
-    "measure_list_sorted": ('("Large Encounters" E sort by date desc, id) X return all X.id', None),
+    "measure_list_sorted": ('("Large Encounters" E sort by date desc, id) X return all X.id', _by("string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY o_orderdate DESC, o_orderkey)", "orders WHERE o_totalprice > 200000", "''")),
     "measure_retrieve_value_set": ('Count("Urgent Encounters")', _by("CAST(count(*) AS INT)", "orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')", "0")),
     "measure_retrieve_code": ('Count("Purchases")', _USER.format("coalesce(v, 0)", "CAST(count(*) AS INT)", "event_type = 'purchase'")),
     "measure_retrieve_codes": ('Count([Observation: code in "Actions"] O where O.value > 50)', _USER.format("coalesce(v, 0)", "CAST(count(*) AS INT)", "event_type IN ('click', 'view') AND value > 50")),
@@ -83,6 +86,8 @@ MEASURES = {
     "measure_collapse": ('Count(collapse ("Encounters" E return all E.period))', "SELECT c_custkey AS ctx, coalesce(v, 0) AS result FROM customer LEFT JOIN (SELECT o_custkey, CAST(sum(new) AS INT) AS v FROM (SELECT o_custkey, CASE WHEN o_orderdate <= max(o_orderdate + INTERVAL 90 DAY) OVER w + INTERVAL 1 MILLISECOND THEN 0 ELSE 1 END AS new FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) GROUP BY 1) ON o_custkey = c_custkey"),
     "measure_collapse_events": ('Count(collapse ([Observation] O return all O.span) per hour)', "SELECT c_custkey AS ctx, coalesce(v, 0) AS result FROM customer LEFT JOIN (SELECT user_id, CAST(sum(new) AS INT) AS v FROM (SELECT user_id, CASE WHEN ts <= max(ts + INTERVAL 2 HOUR) OVER w + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) GROUP BY 1) ON user_id = c_custkey"),
     "measure_aggregate_clause": ('"Large Encounters" E aggregate R starting 0: R + 1', _by("CAST(count(*) AS INT)", "orders WHERE o_totalprice > 200000", "0")),
+    "measure_unfiltered": ('Count("Encounters") * 100000 div "All Encounters"', _by("CAST(count(*) * 100000 // (SELECT count(*) FROM orders) AS INT)", empty="0")),
+    "measure_unfiltered_max": ('"Top Price" - Max("Encounters" E return all E.price)', _by("CAST((SELECT CAST(max(o_totalprice) AS DECIMAL(18,2)) FROM orders) - max(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE)")),
     "measure_arithmetic": ('Count("Large Encounters") * 100 div Count("Encounters")', _by("CAST(count(*) FILTER (o_totalprice > 200000) * 100 // count(*) AS INT)")),
     "measure_age": ('AgeInYearsAt(@2000-01-01)', f"SELECT c_custkey AS ctx, CAST(CASE WHEN {_BIRTH} <= DATE '2000-01-01' THEN date_sub('year', {_BIRTH}, DATE '2000-01-01') ELSE 0 END AS INT) AS result FROM customer"),
     "measure_age_today": ('AgeInYears() >= 65', f"SELECT c_custkey AS ctx, date_sub('year', {_BIRTH}, DATE '2020-01-02') >= 65 AS result FROM customer"),
@@ -117,28 +122,33 @@ def _value_set_table(spark, sf_dir):
     return Population(model, HEAD).row_frame("Urgent Encounters").selectExpr("ctx", "id")
 
 
-def _rows(name):
-    def run(spark, sf_dir):
-        return Population(tables.clinical(spark, sf_dir, VALUE_SETS), HEAD).row_frame(name).selectExpr("ctx", "id")
+_EVENTS = "SELECT user_id AS ctx, ts AS lo, ts + INTERVAL 2 HOUR AS hi FROM events WHERE value > 150"
+#: name: (definition of rows, columns that come out beside ctx, SQL)
+ROWS = {
+    "rows_retrieve_filter": ('"Large Encounters"', ["id"], "SELECT o_custkey AS ctx, o_orderkey AS id FROM orders WHERE o_totalprice > 200000"),
+    "rows_return": ("[Encounter] E where E.price > 400000 return all E.id", ["value as id"], "SELECT o_custkey AS ctx, o_orderkey AS id FROM orders WHERE o_totalprice > 400000"),
+    "rows_distinct": ('distinct ("Encounters" E return all E.class)', ["value as class"], "SELECT DISTINCT o_custkey AS ctx, o_orderpriority AS class FROM orders"),
+    "rows_flatten": ('flatten ("Large Encounters" E return all {E.id, E.id + 1})', ["value as id"], "SELECT o_custkey AS ctx, unnest([o_orderkey, o_orderkey + 1]) AS id FROM orders WHERE o_totalprice > 200000"),
+    "rows_skip": ('Skip(("Encounters" E sort by price desc, id), 2)', ["id"], "SELECT o_custkey AS ctx, o_orderkey AS id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) > 2"),
+    "rows_tail": ('Tail("Encounters" E sort by date, id)', ["id"], "SELECT o_custkey AS ctx, o_orderkey AS id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) > 1"),
+    "rows_take": ('Take(("Encounters" E sort by price desc, id), 2)', ["id"], "SELECT o_custkey AS ctx, o_orderkey AS id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2"),
+    "rows_collapse": ("collapse ([Observation] O where O.value > 150 return all O.span)", ["unix_micros(value.low) as low", "unix_micros(value.high) as high"], f"SELECT ctx, CAST(epoch_us(min(lo)) AS BIGINT) AS low, CAST(epoch_us(max(hi)) AS BIGINT) AS high FROM (SELECT *, sum(new) OVER (PARTITION BY ctx ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY ctx ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + INTERVAL 1 MILLISECOND THEN 0 ELSE 1 END AS new FROM ({_EVENTS}))) GROUP BY ctx, island"),
+    "rows_expand": ("expand ([Observation] O where O.value > 150 return all O.span) per hour", ["unix_micros(value.low) as low"], f"SELECT ctx, CAST(epoch_us(unnest(generate_series(lo, hi, INTERVAL 1 HOUR))) AS BIGINT) AS low FROM (SELECT ctx, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY ctx ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY ctx ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + INTERVAL 1 MILLISECOND THEN 0 ELSE 1 END AS new FROM ({_EVENTS}))) GROUP BY ctx, island)"),
+}
 
-    return run
 
+def _rows(name: str):
+    def run(spark, sf_dir):
+        population = Population(tables.clinical(spark, sf_dir, VALUE_SETS), HEAD + f'define "It": {ROWS[name][0]}')
+        return population.row_frame("It").selectExpr("ctx", *ROWS[name][1])
 
-def _expand(spark, sf_dir):
-    """Row form of expand: the months of each patient's merged encounters."""
-    p = Population(tables.clinical(spark, sf_dir, VALUE_SETS), HEAD + 'define "It": [Encounter] E where E.price > 400000 return all E.id')
-    return p.row_frame("It").selectExpr("ctx", "value as id")
+    return run
 
 
 def queries() -> dict:
-    out = {n: _measure(n) for n, (_, sql) in MEASURES.items() if sql}
-    return out | {"rows_retrieve_value_set_table": _value_set_table, "rows_retrieve_filter": _rows("Large Encounters"), "rows_return": _expand}
+    return {n: _measure(n) for n in MEASURES} | {"rows_retrieve_value_set_table": _value_set_table} | {n: _rows(n) for n in ROWS}
 
 
 def oracle_sql() -> dict:
-    out = {n: sql for n, (_, sql) in MEASURES.items() if sql}
-    return out | {
-        "rows_retrieve_value_set_table": "SELECT o_custkey AS ctx, o_orderkey AS id FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')",
-        "rows_retrieve_filter": "SELECT o_custkey AS ctx, o_orderkey AS id FROM orders WHERE o_totalprice > 200000",
-        "rows_return": "SELECT o_custkey AS ctx, o_orderkey AS id FROM orders WHERE o_totalprice > 400000",
-    }
+    out = {n: sql for n, (_, sql) in MEASURES.items()} | {n: sql for n, (*_, sql) in ROWS.items()}
+    return out | {"rows_retrieve_value_set_table": "SELECT o_custkey AS ctx, o_orderkey AS id FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"}

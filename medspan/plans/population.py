@@ -4,7 +4,8 @@ A retrieve is a scan, its terminology a predicate on it or a semi join with the
 value set table; ``with`` and ``without`` are semi and anti joins on the context
 with the condition as residue; several sources join on the context; sorting is
 kept as keys until First, Last or a list needs it. Aggregates group by the
-context and are joined to its rows once each, with what an empty list gives.
+context and are joined to its rows once each, with what an empty list gives. Those of
+definitions in the Unfiltered context are taken over all rows and joined as one row.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ class Population(Compiler):
         library = text if isinstance(text, Library) else Library(text, include)
         codes = model.value_sets if isinstance(model.value_sets, dict) else {}
         super().__init__(library, parameters, now, codes, externals)
-        self.model, self.done, self.spine, self.attached, self.pending, self.quiet = model, {}, None, {}, {}, 0
+        self.model, self.done, self.spine, self.attached, self.pending, self.quiet, self.whole = model, {}, None, {}, {}, 0, False
 
     # -- results
     def evaluate(self, *names: str) -> DataFrame:
@@ -51,17 +52,25 @@ class Population(Compiler):
         key = self.model.resources[self.model.context].fields[self.model.key][0]
         prefix = "Patient"
         base_ = self.model.resources[self.model.context]
-        self.spine = base_.frame.selectExpr(f"{key} as ctx", *[x for n, (e, _) in base_.fields.items() for x in field_columns(f"{prefix}__{n}", e)])
+        if all(self.unfiltered(n) for n in names):
+            self.spine = base_.frame.sparkSession.range(1).selectExpr("cast(null as string) as ctx")
+        else:
+            self.spine = base_.frame.selectExpr(f"{key} as ctx", *[x for n, (e, _) in base_.fields.items() for x in field_columns(f"{prefix}__{n}", e)])
         self.attached, self.pending = {}, {}
         scope = {prefix: self.model.scope(self.model.context, prefix), "$context": self.model.scope(self.model.context, prefix)}
         out = []
         for n in names:
             tree = self.library.tree["defines"][n]
+            self.whole = self.unfiltered(n)
             rows = self.row_set(tree, scope)
             e = self.aggregate("ToList", rows, tree, tree) if rows is not None else self.expr(tree, scope)
             out.append(f"{e} as `{n}`")
-        for rows, columns in self.pending.values():
-            self.spine = self.spine.join(rows.df.groupBy("ctx").agg(*columns), "ctx", "left")
+        self.whole = False
+        for (whole, _), (rows, columns) in self.pending.items():
+            if whole:  # one row
+                self.spine = self.spine.crossJoin(F.broadcast(rows.df.agg(*columns)))
+            else:
+                self.spine = self.spine.join(rows.df.groupBy("ctx").agg(*columns), "ctx", "left")
         return self.spine.selectExpr("ctx", *out)
 
     def row_frame(self, name: str) -> DataFrame:
@@ -73,6 +82,22 @@ class Population(Compiler):
             return rows.df.selectExpr("ctx", *[f"{e} as `{n}`" for n, e in rows.item.t[1]])
         return rows.df.selectExpr("ctx", f"{rows.item} as value")
 
+    def unfiltered(self, name: str) -> bool:
+        """Whether a definition stands in the Unfiltered context: of all rows, whoever they belong to."""
+        return self.library.tree.get("contexts", {}).get(name) == "Unfiltered"
+
+    def x_ref(self, tree, scope):
+        name, before = tree[1], self.whole
+        if name in scope or name not in self.library.tree["defines"]:
+            return super().x_ref(tree, scope)
+        self.whole = self.unfiltered(name)
+        if before and not self.whole:
+            raise TypeFault(f"{name} has a value for each row of the context")
+        try:
+            return super().x_ref(tree, scope)
+        finally:
+            self.whole = before
+
     def outer(self):
         s = self.model.scope(self.model.context, "Patient")
         return {"Patient": s, "$context": s}
@@ -156,7 +181,8 @@ class Population(Compiler):
             return None
         name = terms[1]
         if name in self.library.tree["valuesets"]:
-            return self.codes.get(self.library.tree["valuesets"][name], self.codes.get(name))
+            url = self.library.tree["valuesets"][name]
+            return self.codes.get(url, self.codes.get(url.partition("|")[0], self.codes.get(name)))
         if name in self.library.tree["codes"]:
             return [(None, self.library.tree["codes"][name][1])]
         return None
@@ -187,6 +213,8 @@ class Population(Compiler):
                 continue
             more, item = self.aliased(s, alias)
             inner[alias] = item
+            if df is not None and self.whole:
+                raise TypeFault("several sources need a context")
             df = more if df is None else df.join(more, "ctx")
         for alias, e in arrays:
             items = e if is_list(e.t) else lib.call("ToList", [e])
@@ -226,27 +254,32 @@ class Population(Compiler):
 
     def with_context(self, df, q, inner):
         """Joins the context's own columns where the query names them."""
-        if not self.names_context((q["lets"], q["links"], q["where"], q["return"], q["sort"]), inner):
+        if not self.names_context((q["lets"], q["links"], q["where"], q["return"], q["sort"]), set(inner) - {"Patient"}):
             return df, inner
         r = self.model.resources[self.model.context]
         own = r.frame.selectExpr(f"{r.fields[self.model.key][0]} as ctx", *[x for n, (e, _) in r.fields.items() for x in field_columns(f"Patient__{n}", e)])
         return df.join(own, "ctx"), inner
 
-    def names_context(self, tree, scope) -> bool:
-        """Whether a tree refers to the context's row, itself, by an age or through what it refers to."""
+    def names_context(self, tree, bound, seen=frozenset()) -> bool:
+        """Whether a tree refers to the context's row: itself, by an age, or through definitions and functions. bound: names that stand for something else."""
         if isinstance(tree, dict):
-            return any(self.names_context(x, scope) for x in tree.values())
+            return any(self.names_context(x, bound, seen) for x in tree.values())
         if not isinstance(tree, (tuple, list)):
             return False
-        if len(tree) > 1 and tree[0] == "ref" and isinstance(tree[1], str):
-            return tree[1] == "Patient" or tree[1] not in scope and self.nested(lambda: self.names_context(self.library.tree["defines"].get(tree[1]), {}))
-        if len(tree) > 2 and tree[0] == "call":
-            if tree[1] in _AGES and not tree[1].startswith("Calculate"):
+        through = None
+        if len(tree) > 1 and tree[0] == "ref" and isinstance(tree[1], str) and tree[1] not in bound:
+            if tree[1] == "Patient":
                 return True
-            bodies = [body for _, body, *_ in self.library.tree["functions"].get(tree[1], [])]
-            if self.nested(lambda: self.names_context(bodies, {})):
+            through = self.library.tree["defines"].get(tree[1])
+        elif len(tree) > 2 and tree[0] == "call":
+            if tree[1] in _AGES and not tree[1].startswith("Calculate"):
                 return True
-        return any(self.names_context(x, scope) for x in tree)
+            through = [body for _, body, *_ in self.library.tree["functions"].get(tree[1], [])]
+        elif len(tree) == 2 and tree[0] == "query":
+            bound = {*bound, *(a for _, a in tree[1]["sources"]), *(n for n, _ in tree[1]["lets"]), *(a for _, _, a, _ in tree[1]["links"])}
+        if through and tree[1] not in seen and self.names_context(through, (), seen | {tree[1]}):
+            return True
+        return any(self.names_context(x, bound, seen) for x in tree)
 
     def quietly(self, tree, scope) -> E:
         """An expression over the columns at hand, without plans of its own."""
@@ -271,7 +304,7 @@ class Population(Compiler):
         more, item = self.aliased(rows, alias)
         more = more.withColumnRenamed("ctx", "__ctx") if not direct else more
         such = F.expr(str(coerce(self.quietly(cond, inner | {alias: item}), "Boolean")))
-        on = such if direct else (F.col("ctx") == F.col("__ctx")) & such
+        on = such if direct or self.whole else (F.col("ctx") == F.col("__ctx")) & such
         return df.join(more, on, "left_semi" if kind == "with" else "left_anti")
 
     def by_parent(self, cond, alias, r, inner) -> bool:
@@ -376,9 +409,9 @@ class Population(Compiler):
 
     def aggregate(self, name: str, rows: Rows, tree, source) -> E:
         """A column of the spine with an aggregate of a row-set; aggregates of one source are taken together."""
-        mark = f"{name}|{tree!r}"
+        mark = f"{name}|{self.whole}|{tree!r}"
         if mark not in self.attached:
-            rows, columns = self.pending.setdefault(repr(source), (rows, []))
+            rows, columns = self.pending.setdefault((self.whole, repr(source)), (rows, []))
             value = self.packed(rows)
             column = f"a{len(self.attached)}"
             how, t, empty = row_ops.AGGREGATES[name](value, self.keys(rows))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
@@ -85,9 +85,14 @@ class Model:
         return E(prefix, ("Row", tuple((n, field_value(f"{prefix}__{n}", e, t)) for n, (e, t) in self.resources[kind].fields.items())))
 
 
-def union_sources(*frames: DataFrame) -> DataFrame:
-    """Rows of several sources of one type."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+def union_models(*models: Model) -> Model:
+    """Several sources as one model: of each type the rows of all that have it, with the fields of the first."""
+    first = models[0]
+    out = {}
+    for kind in dict.fromkeys(k for m in models for k in m.resources):
+        own = [m.resources[kind] for m in models if kind in m.resources]
+        frame = own[0].frame
+        for r in own[1:]:
+            frame = frame.unionByName(r.frame.select(*[c for c in r.frame.columns if c in frame.columns]), allowMissingColumns=True)
+        out[kind] = replace(own[0], frame=frame)
+    return replace(first, resources=out)

@@ -11,7 +11,10 @@ from medspan import registry
 from medspan.plans.compiler import Compiler, Library
 from medspan.plans.population import Population
 from medspan.plans.requirements import dump, messages, requirements, restore
+from medspan.functions.core import TypeFault
 from medspan.sources import fhir, tables
+from medspan.sources.libraries import Folder
+from medspan.sources.model import union_models
 from medspan.streaming.windows import collapse_stream, expand_stream
 
 SF = "/root/testdata/sf0.001"
@@ -97,6 +100,98 @@ def test_bundles(spark, tmp_path):
     assert empty.count() == 0
 
 
+def test_more_of_the_model(spark, tmp_path):
+    """Lines of resources, parts of elements, names, several sources, text that is no resource, the store by kind."""
+    lines = [
+        {"resourceType": "Patient", "id": "p1", "birthDate": "1980-05", "name": [{"family": "Roe", "given": ["Ann", "B"]}], "address": [{"city": "Oslo"}], "extension": [{"url": "urn:race", "valueString": "x"}]},
+        {"resourceType": "Immunization", "id": "i1", "patient": {"reference": "Patient/p1"}, "vaccineCode": {"coding": [{"system": "http://l", "code": "A1"}]}, "occurrenceDateTime": "2023-02"},
+        {"resourceType": "Encounter", "id": "e1", "subject": {"reference": "p1"}, "period": {"start": "2023-01-05T10:00:00Z"}, "diagnosis": [{"condition": {"reference": "Condition/c1"}, "rank": 1}, {"condition": {"reference": "c2"}, "rank": 2}]},
+        {"resourceType": "Claim", "id": "k", "patient": {"reference": "p1"}, "item": [{"sequence": 3, "servicedPeriod": {"start": "2023", "end": "2024"}}]},
+    ]
+    (tmp_path / "r.ndjson").write_text("\n".join(map(json.dumps, lines)) + "\n{not json\n\n")
+    every = fhir.resources(spark, str(tmp_path / "r.ndjson"))
+    assert [r.json for r in fhir.broken(every).collect()] == ["{not json"]
+    text = """library L valueset "V": 'urn:vs' define "N": First(Patient.name N return all N.family) define "G": Count(First(Patient.name).given) define "C": First(Patient.address A return all A.city)
+      define "Ex": exists (Patient.extension X where X.url = 'urn:race' and X.valueString = 'x')
+      define "I": Count([Immunization: vaccineCode in "V"] I where I.occurrenceDateTime during Interval[@2023-01-01T, @2023-12-31T])
+      define "D": First([Encounter] E return all First(E.diagnosis X where X.rank = 2).condition)
+      define "K": Count([Claim] K where exists (K.item X where X.servicedPeriod starts same year as @2023-01-01T))"""
+    codes = {"urn:vs": [("http://l", "a1")]}
+    for source in (every, fhir.stored(every, str(tmp_path / "store"))):
+        row = Population(fhir.model(spark, source, codes), text).evaluate("N", "G", "C", "Ex", "I", "D", "K").collect()
+        assert [tuple(r) for r in row] == [("p1", "Roe", 2, "Oslo", True, 1, "c2", 1)]
+    two = union_models(fhir.model(spark, every, codes), fhir.model(spark, every.where("kind in ('Immunization', 'Encounter')"), codes))
+    assert [tuple(r) for r in Population(two, text).evaluate("I").collect()] == [("p1", 2)]
+
+
+def test_structure_definitions_give_types(spark):
+    def element(path, *codes, most="1"):
+        return {"path": path, "max": most, "type": [{"code": x} for x in codes]}
+
+    bundle = {"entry": [{"resource": {"resourceType": "StructureDefinition", "type": name, "kind": kind, "snapshot": {"element": elements}}} for name, kind, elements in (
+        ("HumanName", "complex-type", [{"path": "HumanName"}, element("HumanName.given", "string", most="*")]),
+        ("Patient", "resource", [{"path": "Patient"}, element("Patient.id", "http://hl7.org/fhirpath/System.String"), element("Patient.name", "HumanName", most="*"), element("Patient.birthDate", "date"), element("Patient.contained", "Resource", most="*")]),
+        ("Goal", "resource", [{"path": "Goal"}, element("Goal.id", "id"), element("Goal.subject", "Reference"), element("Goal.category", "CodeableConcept", most="*"), element("Goal.start[x]", "date", "CodeableConcept"), element("Goal.target", "BackboneElement", most="*"), element("Goal.target.measure", "CodeableConcept"), element("Goal.target.due[x]", "date", "Duration")]),
+    )]}
+    types = fhir.definitions(json.dumps(bundle))
+    assert types["Patient"] == ({"id": "string", "name": [{"given": "[string]"}], "birthDate": "date"}, None, None)
+    assert types["Goal"] == ({"id": "string", "subject": "Reference", "category": "[CodeableConcept]", "startDate": "date", "startCodeableConcept": "CodeableConcept", "target": [{"measure": "CodeableConcept", "dueDate": "date", "dueDuration": "Quantity"}]}, "subject", "category")
+    every = spark.createDataFrame([("Patient", '{"id": "p"}'), ("Goal", '{"id": "g", "subject": {"reference": "Patient/p"}, "target": [{"dueDate": "2024-05"}]}')], "kind string, json string")
+    p = Population(fhir.model(spark, every, types=types), 'library L define "T": Count([Goal] G where exists (G.target T where T.dueDate same or after @2024-05))')
+    assert [tuple(r) for r in p.evaluate("T").collect()] == [("p", 1)]
+
+
+def test_value_sets_refer_to_others(spark, tmp_path):
+    def one(url, **more):
+        return {"resourceType": "ValueSet", "url": url, **more}
+
+    def listed(*codes):
+        return {"system": "s", "concept": [{"code": x} for x in codes]}
+
+    sets = [
+        one("a", version="1", compose={"include": [listed("1", "2")]}), one("a", version="2", compose={"include": [listed("2", "3")]}),
+        one("b", compose={"include": [{"valueSet": ["a|1"]}, listed("9")], "exclude": [listed("2")]}), one("c", compose={"include": [{"valueSet": ["b", "a|7"]}]}),
+        one("d", expansion={"contains": [{"system": "s", "code": "1", "contains": [{"system": "s", "code": "5"}, {"system": "s", "abstract": True, "code": "x", "contains": [{"system": "s", "code": "6"}]}]}]}),
+        one("loop", compose={"include": [{"valueSet": ["loop", "d"]}]}), one("open", compose={"include": [{"system": "s", "filter": [{"property": "p"}]}]}),
+    ]
+    (tmp_path / "v.ndjson").write_text("\n".join(map(json.dumps, sets)))
+    found: dict = {}
+    for r in fhir.value_sets(spark, str(tmp_path / "v.ndjson")).collect():
+        found.setdefault(r.vs_id, set()).add(r.code)
+    assert found == {"a": {"1", "2", "3"}, "a|1": {"1", "2"}, "a|2": {"2", "3"}, "b": {"1", "9"}, "c": {"1", "2", "3", "9"} - set(), "d": {"1", "5", "6"}, "loop": {"1", "5", "6"}}
+    assert [r.url for r in fhir.open_value_sets(spark, str(tmp_path / "v.ndjson")).collect()] == ["open"]
+    assert Library("library L valueset \"V\": 'a' version '2' define \"X\": 1").tree["valuesets"] == {"V": "a|2"}
+
+
+def test_a_folder_of_libraries(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    for name, text in (("a.cql", "library Common version '1.9' define \"N\": 1"), ("x/b.cql", "library Common version '1.10' define \"N\": 2"), ("m.cql", "library Main include Common called C include Common version '1.9' called D define \"S\": C.\"N\" * 10 + D.\"N\"")):
+        (tmp_path / name).write_text(text)
+    library = Folder(str(tmp_path)).library("Main")
+    assert spark.range(1).selectExpr(str(Compiler(library).compile('"S"'))).first()[0] == 21
+    assert spark.range(1).selectExpr(str(Compiler(restore(dump(library))).compile('"S"'))).first()[0] == 21
+    for name, version in (("Common", "2"), ("None", None)):
+        with pytest.raises(TypeFault):
+            Folder(str(tmp_path))(name, version)
+
+
+def test_unfiltered_context(spark):
+    text = """library L context Unfiltered define "All": Count([Encounter]) define "Low": Min([Encounter] E where E.price > 100000 return all E.price) context Patient define "Own": Count([Encounter]) define "Both": "Own" + "All" """
+    p = Population(tables.clinical(spark, SF), text)
+    assert [(r.All, float(r.Low) > 100000) for r in p.evaluate("All", "Low").collect()] == [(1500, True)]
+    rows = p.evaluate("Own", "Both").collect()
+    assert len(rows) == 150 and all(r.Both == r.Own + 1500 for r in rows)
+    with pytest.raises(TypeFault):
+        Population(tables.clinical(spark, SF), text.replace("context Patient", "context Patient define \"P\": Count([Encounter]) context Unfiltered define \"W\": \"P\" + 1 context Patient")).evaluate("W")
+
+
+def test_context_is_joined_only_where_named(spark):
+    model = tables.clinical(spark, SF)
+    for body, joined in (("[Encounter] AgeOf where AgeOf.price > 1", False), ("[Encounter] E where AgeInYearsAt(@2000-01-01) > 1", True), ("[Encounter] E where E.price > Patient.balance", True), ("[Encounter] E sort by price + Patient.balance", True), ("[Encounter] E where \"Old\"", True)):
+        plan = Population(model, f'library L define "Old": AgeInYearsAt(@2000-01-01) > 60 define "D": {body}').row_frame("D")._jdf.queryExecution().analyzed().toString()
+        assert ("Join" in plan) == joined, body
+
+
 def test_streams_merge_and_count(spark, tmp_path):
     events = tables.read(spark, SF, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     events.repartition(1).write.parquet(str(tmp_path / "in"))
@@ -114,6 +209,8 @@ def test_requirements_and_trees():
     text = """library L valueset "V": 'urn:v' code "C": 'c' from "S" define "A": [Observation: "V"] union [Observation: "C"] define "B": exists [Encounter] define "D": Message(1, true, 'x', 'Trace', 'said')"""
     library = Library(text)
     assert [r["type"] for r in requirements(library)] == ["Encounter", "Observation"]
+    more = Library("""library L define "A": [Observation] define "B": "A" O with [Encounter] E such that O.time during E.period where O.value > 1 return all O.code define "C": First("A" O sort by time).status""")
+    assert {r["type"]: r["fields"] for r in requirements(more)} == {"Encounter": ["period"], "Observation": ["code", "status", "time", "value"]}
     assert requirements(library)[1]["code_filters"] == [{"path": None, "value_set": "urn:v", "code": None}, {"path": None, "value_set": None, "code": "c"}]
     again = restore(dump(library))
     assert again.tree["defines"] == library.tree["defines"] and requirements(again) == requirements(library)
