@@ -224,6 +224,8 @@ def step(a: E, sign: int) -> E:
         return E(f"{name}({a}, cast(1 as {sql_type(t)}))", t)
     if t == "Decimal":
         return E(f"cast({name}({a}, cast(0.00000001 as {DECIMAL})) as {DECIMAL})", t)
+    if a.t == "Any":
+        return null("Integer")
     if len(a.sql) >= c.LONG:
         return c.let(a, lambda x: step(x, sign))
     if t == "Quantity":
@@ -313,7 +315,7 @@ def _boundary(args, high: bool):
     want = coerce(args[1], "Integer") if len(args) > 1 else E({"Date": "8", "DateTime": "17", "Time": "9"}[kind], "Integer")
     to = f"case {want} {' '.join(f'when {d - shift} then {k}' for k, d in _DIGITS.items() if d > shift and k <= FULL[kind])} end"
     if not high:
-        return E(f"transform(array({to}), q -> case when q is not null then {temporal(kind, v(a), 'q')} end)[0]", kind)
+        return E(f"transform(array({to}), q -> case when q is not null and {v(a)} is not null then {temporal(kind, v(a), 'q')} end)[0]", kind)
     low = 4 if kind == "Time" else 1
     ends = {}
     for k in range(low, FULL[kind]):
@@ -325,7 +327,7 @@ def _boundary(args, high: bool):
         else:
             ends[k] = f"({c.trunc(kind, v(a), k)} + {({4: 3_600_000, 5: 60_000, 6: 1_000})[k] - 1})"
     point = _by_level(a, ends | {FULL[kind]: v(a)})
-    return E(f"transform(array({to}), q -> case when q is not null then {temporal(kind, c.trunc_dynamic(kind, point, 'q'), 'q')} end)[0]", kind)
+    return E(f"transform(array({to}), q -> case when q is not null and {v(a)} is not null then {temporal(kind, c.trunc_dynamic(kind, point, 'q'), 'q')} end)[0]", kind)
 
 
 OPS["LowBoundary"] = lambda args, _: _boundary(args, False)
