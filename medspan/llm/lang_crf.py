@@ -60,10 +60,26 @@ class CrfModel:
     start: np.ndarray
 
 
+def without_punctuation(buffer: np.ndarray) -> np.ndarray:
+    """UTF-8 with blanks for signs that are no letters: of Latin-1, general and ideographic punctuation."""
+    lead = np.flatnonzero(np.isin(buffer[:-2], (0xC2, 0xC3, 0xE2, 0xE3)))
+    kind, x, y = buffer[lead], buffer[lead + 1], buffer[lead + 2]
+    two = (kind == 0xC2) & ~np.isin(x, (0xAA, 0xB5, 0xBA)) | (kind == 0xC3) & np.isin(x, (0x97, 0xB7))
+    three = (kind == 0xE2) & ((x == 0x80) | (x == 0x81) & (y < 0xB0)) | (kind == 0xE3) & (x == 0x80) & ((y < 0x85) | (y > 0x87) & (y < 0xA0))
+    if not (two.any() or three.any()):
+        return buffer
+    out = buffer.copy()
+    for places, size in ((lead[two], 2), (lead[three], 3)):
+        for k in range(size):
+            out[places + k] = 32
+    return out
+
+
 def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(buffer, starts, ends of words, first word of each text and the total)."""
     parts = T.encode([None if t is None else t.lower() for t in texts])
     buffer, starts, _ = T.flat(parts, b" ")
+    buffer = without_punctuation(buffer)
     a, b = T.word_spans(buffer, _NO_LETTER)
     return buffer, a, b, np.append(np.searchsorted(a, starts), len(a))
 

@@ -100,7 +100,6 @@ def train(parts: list[bytes], labels: np.ndarray, model: Ftrl = Ftrl()) -> np.nd
         rows += [(np.append(feature[cut[k] : cut[k + 1]], size), np.append(value[cut[k] : cut[k + 1]], 1.0)) for k in range(j - i)]
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     z[-1] = -np.log(share / (1 - share)) * (model.beta / model.alpha + model.l2)
-    # the rarer class weighs as much as the other, but for the bias that keeps the threshold calibrated
     rng = np.random.default_rng(7)
     for _ in range(model.epochs):
         for k in rng.permutation(len(rows)):

@@ -299,6 +299,12 @@ def test_encode_decode_frame(spark, pieces):
     assert sentencepiece_trie.encode_decode(frame(spark, []), pieces, digest=True).collect() == []
 
 
+def test_words_hold_no_punctuation():
+    text = "«Été» – „straße“… £5 µ ª a×b „“ naïve。日本々、ⁿ £"
+    buffer, a, b, _ = lang_crf.tokens([text])
+    assert [buffer[i:j].tobytes().decode() for i, j in zip(a, b, strict=True)] == ["été", "straße", "µ", "ª", "a", "b", "naïve", "日本々", "ⁿ"]
+
+
 # --- host reputation -------------------------------------------------------
 
 
