@@ -23,10 +23,11 @@ further bits of their trigger.
 
 Buckets of triggers grow in number with the input's bytes, not in size. A trigger that a
 sample shows to have more than ``spread`` phrases is hot: its passages travel one by one,
-by 128 bits of their own hash, which deals them evenly. At most 1 / share of all triggers
-can be hot, so the list of them is bounded. Phrases of a batch are reduced to their
-first document before they are dealt out, so a passage that very many documents share
-arrives once per batch. Texts travel once, compressed, and meet their spans by (doc_id,
+by 128 bits of their own hash, which deals them evenly. At most as many triggers as the
+sample's phrases over share * spread can be hot, so the list of them is bounded. Phrases
+of a batch are reduced to their first document before they are dealt out, and a task
+remembers those that stood twice, so a passage that very many documents share
+arrives about once per task. Texts travel once, compressed, and meet their spans by (doc_id,
 hash of the text).
 
 Defined results: a null text is empty; a null doc_id counts as the largest id, 2**63 - 1;
@@ -165,6 +166,34 @@ def _classes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+class Seen:
+    """Phrases that a task has met more than once, with their first document: a table of bounded size."""
+
+    KEEP = 1 << 17
+
+    def __init__(self):
+        self.digest, self.trigger, self.doc = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)
+
+    def least(self, digest: np.ndarray, trigger: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The least document of each phrase, of these and those met before; what stands twice is kept."""
+        which = _classes(digest, trigger)
+        out = _least(which, doc)
+        again = np.bincount(which)[which] > 1
+        if len(self.digest):
+            at = np.minimum(np.searchsorted(self.digest, digest), len(self.digest) - 1)
+            known = (self.digest[at] == digest) & (self.trigger[at] == trigger)
+            out = np.where(known, np.minimum(out, self.doc[at]), out)
+            again |= known
+        _, one = np.unique(which[again], return_index=True)
+        new = np.flatnonzero(again)[one][: self.KEEP]
+        digest, trigger, doc = (np.concatenate([x[new], y]) for x, y in ((digest, self.digest), (trigger, self.trigger), (out, self.doc)))
+        first = np.unique(digest, return_index=True)[1]  # the new ones stand first
+        first = first[np.argsort(first, kind="stable")[: self.KEEP]]
+        first = first[np.argsort(digest[first])]
+        self.digest, self.trigger, self.doc = digest[first], trigger[first], doc[first]
+        return out
+
+
 #: What a row of a bucket holds.
 _PHRASES, _SINGLE, _TEXTS = 0, 1, 2
 
@@ -189,12 +218,12 @@ def _parse(how: Passages, buckets: int, hot: np.ndarray):
         if rows:
             yield _batch([b for b, _, _ in rows], [None] * len(rows), [_SINGLE] * len(rows), [len(o) for _, o, _ in rows], [x for _, _, x in rows])
 
-    def reduce_(got, hots, ids, keys):
+    def reduce_(got, hots, ids, keys, seen):
         ids, keys = np.array(ids, np.int64), np.array(keys, np.int64)
         if hots:
             yield from single(hots, ids, keys)
         doc, start, passages, trigger, digest = (np.concatenate(x) for x in zip(*got, strict=True))
-        again = ids[doc] > _least(_classes(digest, trigger), ids[doc])
+        again = ids[doc] > seen.least(digest, trigger, ids[doc])
         yield spans(ids, keys, doc[again], start[again], (start + passages + how.length - 1)[again])
         doc, start, passages, trigger, digest = (x[~again] for x in (doc, start, passages, trigger, digest))
         bucket = (trigger % U(buckets)).astype(np.int64)
@@ -207,7 +236,7 @@ def _parse(how: Passages, buckets: int, hot: np.ndarray):
             yield _batch(b, [None] * len(b), [_PHRASES] * len(b), n, blobs)
 
     def run(batches):
-        got, hots, ids, keys, size = [], [], [], [], 0
+        got, hots, ids, keys, size, seen = [], [], [], [], 0, Seen()
         for batch in batches:
             parts = T.encode(batch.column(2).cast(pa.binary()).to_pylist())
             doc, key = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -224,10 +253,10 @@ def _parse(how: Passages, buckets: int, hot: np.ndarray):
                 keys += key[i:j]
                 size += sum(map(len, parts[i:j]))
                 if size >= how.gather:
-                    yield from reduce_(got, hots, ids, keys)
+                    yield from reduce_(got, hots, ids, keys, seen)
                     got, hots, ids, keys, size = [], [], [], [], 0
         if got:
-            yield from reduce_(got, hots, ids, keys)
+            yield from reduce_(got, hots, ids, keys, seen)
 
     return run
 
