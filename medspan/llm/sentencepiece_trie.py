@@ -35,7 +35,6 @@ import struct
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -240,9 +239,7 @@ class Encoder:
         """The place in the table of every segment; new ones are encoded first, together."""
         within = np.arange(len(points), dtype=np.uint64) - np.repeat(at, sizes).astype(np.uint64)
         letters = points.astype(np.uint64) | (within << np.uint64(21))
-        codes, hashes = pd.factorize(np.add.reduceat(T.mix(letters * _FIRST), at))
-        first = np.empty(len(hashes), np.int64)
-        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        hashes, first, codes = np.unique(np.add.reduceat(T.mix(letters * _FIRST), at), return_index=True, return_inverse=True)
         own, own_sizes = at[first], sizes[first]
         spread = np.repeat(own - (np.cumsum(own_sizes) - own_sizes), own_sizes) + np.arange(int(own_sizes.sum()))
         checks = np.add.reduceat(T.mix(letters[spread] * _SECOND), np.cumsum(own_sizes) - own_sizes)
@@ -270,7 +267,7 @@ class Encoder:
         self.flat[self.used : self.used + total] = np.fromiter((k for x in pieces.values() for k in x), np.int32, total)
         begin = self.used + np.cumsum(sizes) - sizes
         self.used += total
-        order = np.argsort(hashes[new])
+        order = np.argsort(new)  # hashes are in order by number
         new, begin, sizes = new[order], begin[order], sizes[order]
         to = np.searchsorted(self.hashes, hashes[new])
         self.hashes, self.checks = np.insert(self.hashes, to, hashes[new]), np.insert(self.checks, to, checks[new])
