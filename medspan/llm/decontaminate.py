@@ -225,29 +225,32 @@ def contamination(documents: DataFrame, benchmark: DataFrame, how: Tiling = Tili
     context = documents.sparkSession.sparkContext
     blocks = [context.broadcast(b) for b in _blocks(benchmark, how)]
     if len(blocks) == 1:
-        rows = documents.select(F.col(text).alias("__text"), F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in keep]).alias("__row"))
+        own = "_" * (1 + max(map(len, documents.columns)))  # no column's name
+        rows = documents.select(F.struct(F.col(text).alias(own), *[F.col(f"`{c}`") for c in keep if c != text]).alias("__row"))
         out = rows.mapInArrow(_match(blocks[0]), f"__row {rows.schema['__row'].dataType.simpleString()}, __found {found}")
-        return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in keep], sorted_.alias(name))
+        return out.select(*[F.col(f"__row.`{own if c == text else c}`").alias(c) for c in keep], sorted_.alias(name))
     key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     texts = documents.select(F.col(text).alias("__text"), key.alias("__key"))
     parts = [texts.mapInArrow(_match(b, True), f"__key string, __found {found}").withColumn("__block", F.lit(i)) for i, b in enumerate(blocks)]
     every = functools.reduce(DataFrame.unionByName, parts).groupBy("__key", "__block").agg(F.first("__found").alias("__found")).groupBy("__key").agg(F.flatten(F.collect_list("__found")).alias("__found"))
-    rows = documents.select(key.alias("__key"), F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in keep]).alias("__row")).join(every, "__key", "left")
+    rows = documents.select(key.alias("__key"), F.struct(F.lit(0).alias("_" * (1 + max(map(len, documents.columns)))), *[F.col(f"`{c}`") for c in keep]).alias("__row")).join(every, "__key", "left")
     rows = rows.withColumn("__found", F.coalesce("__found", F.expr(f"cast(array() as {found})")))
     return rows.select(*[F.col(f"__row.`{c}`").alias(c) for c in keep], sorted_.alias(name))
 
 
 def _match(shared, only_found: bool = False):
-    """Rows of a text and another column to that column and the text's items; only_found: rows that have some."""
+    """Rows of a struct that begins with the text, to the struct and the text's items; only_found: of a
+    text and its key, to the key, of those that have some."""
 
     def run(batches):
         for batch in batches:
-            parts = T.encode(batch.column(0).cast(pa.binary()).to_pylist())
+            column = batch.column(0) if only_found else batch.column(0).flatten()[0]
+            parts = T.encode(column.cast(pa.binary()).to_pylist())
             found: list = []
             for i, j in T.blocks(parts, 1 << 20):
                 found += shared.value.matches(parts[i:j])
             items = pa.array([[{"item_id": i, "coverage": c} for i, c in f] for f in found], pa.list_(pa.struct([("item_id", shared.value.kind), ("coverage", pa.float64())])))
-            out = pa.RecordBatch.from_arrays([batch.column(1), items], [batch.schema.names[1], "__found"])
+            out = pa.RecordBatch.from_arrays([batch.columns[-1], items], [batch.schema.names[-1], "__found"])
             yield out.filter(pa.array([bool(f) for f in found], pa.bool_())) if only_found else out
 
     return run

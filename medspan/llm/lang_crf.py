@@ -312,14 +312,15 @@ def identify_languages(documents: DataFrame, model: CrfModel, keep: list[str] |
     column is added: a filter of the table."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in (keep or documents.columns) if least is not None or c not in ("lang_pred", "score")]
-    rows = documents.select(F.col(text).alias("__text"), *[F.col(c) for c in keep])
-    fields = [f.simpleString().split(":", 1) for f in documents.select(*keep).schema]
+    at = keep.index(text) if text in keep else len(keep)  # a text that stays is sent once
+    rows = documents.select(*[F.col(f"`{c}`") for c in keep], *[F.col(text).alias("__text")] * (at == len(keep)))
+    fields = [f.simpleString().split(":", 1) for f in documents.select(*[F.col(f"`{c}`") for c in keep]).schema]
     schema = ", ".join(f"`{n}` {t}" for n, t in fields) + ("" if least is not None else ", lang_pred string, score double")
 
     def run(batches):
         for batch in batches:
-            langs, scores = predict(batch.column(0).to_pylist(), shared.value)
-            columns = [batch.column(i) for i in range(1, batch.num_columns)]
+            langs, scores = predict(batch.column(at).to_pylist(), shared.value)
+            columns = batch.columns[: len(keep)]
             if least is None:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
             else:
