@@ -435,7 +435,7 @@ def encode_decode(documents: DataFrame, model: Model, keep: tuple = ("doc_id",),
             texts = batch.column(0).to_pylist()
             start = size = 0
             for i in range(len(texts) + 1):
-                if i == len(texts) or size > 1 << 20:
+                if i == len(texts) or size > 1 << 19:
                     part = texts[start:i]
                     ids, at = encoder.encode(part)
                     back = [decoder.decode(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
