@@ -15,15 +15,21 @@ back exactly.
 Defined results: a null text is empty, a null role is the empty role; turns of
 a conversation are ordered by (turn, role, text), null turns first, and repeated
 rows are kept as turns of their own; rows with a null conv_id form one
-conversation; an empty table gives no conversations but those added. A
-conversation is the unit of work and must fit in a task.
+conversation; an empty table gives no conversations but those added.
+
+``format_conversations`` takes any template, renders whole prefixes, and gives
+one row for each conversation, which must fit in a task. ``format_blocks`` takes
+templates that look no further back than a stated number of turns. It renders
+prefixes without the turns before those and writes a conversation as blocks, so
+that memory doesn't grow with the conversation and time grows with its turns.
+A turn's text is never cut.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -143,12 +149,7 @@ def locate(render: Render, turns: list[tuple[str, str]], frames: dict | None = N
         if rewritten is None and not new.startswith(out):
             rewritten = i
         if rewritten is None:
-            key = (role, turns[i - 1][0] if i else None, i == 0)
-            frame = frames.get(key)
-            if frame is None or frame[0] + text + frame[1] != new[len(out) :]:
-                frame = _frame(render, turns[:i], (role, text), out)
-                if frame is not None:
-                    frames[key] = frame
+            frame = _known_frame(render, turns[:i], (role, text), out, new, i == 0, frames)
             spans.append(Span(len(out), len(new), len(out) + len(frame[0]), len(new) - len(frame[1])) if frame is not None else None)
         out = new
     if rewritten is not None:
@@ -156,6 +157,35 @@ def locate(render: Render, turns: list[tuple[str, str]], frames: dict | None = N
     return out, spans, rewritten
 
 
+def _known_frame(render: Render, before: list[tuple[str, str]], turn: tuple[str, str], base: str, new: str, first: bool, frames: dict) -> tuple[str, str] | None:
+    """The frame kept for turns like this if it makes up the new output with the text as it stands, else the one that probes show."""
+    key = (turn[0], before[-1][0] if before else None, first)
+    frame = frames.get(key)
+    if frame is None or frame[0] + turn[1] + frame[1] != new[len(base) :]:
+        frame = _frame(render, before, turn, base)
+        if frame is not None:
+            frames[key] = frame
+    return frame
+
+
+def increments(render: Render, turns: Iterable[tuple[str, str]], reach: int, frames: dict) -> Iterator[tuple[str, Span | None]]:
+    """(new output, its span within that) of one turn after the other, for a template whose output for a turn
+    depends on that turn, on ``reach`` turns before it and on nothing else. Raises ValueError if an output
+    doesn't begin with the one before."""
+    window: list[tuple[str, str]] = []
+    base, first = "", True
+    for turn in turns:
+        new = render([*window, turn])
+        if not new.startswith(base):
+            raise ValueError("the template rewrites history: format_conversations renders it")
+        frame = _known_frame(render, window, turn, base, new, first, frames)
+        part = new[len(base) :]
+        yield part, Span(0, len(part), len(frame[0]), len(part) - len(frame[1])) if frame is not None else None
+        kept = [*window, turn][-reach:] if reach else []
+        base = new if len(kept) > len(window) else render(kept) if kept else ""
+        window, first = kept, False
+
+
 def _search(render: Render, turns: list[tuple[str, str]], out: str) -> list[Span | None]:
     """Spans in the final output of a template that rewrites history: the part that changes when one turn's text is replaced."""
     spans: list[Span | None] = []
@@ -201,11 +231,96 @@ def format_conversations(rows: DataFrame, render: Render = render_instruct, lear
     return packed.mapInArrow(run, f"conv_id {kind}, formatted string, spans {span}, loss_spans {span}, rewrites_history boolean")
 
 
+_PAIR = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+_BLOCK = pa.schema([("block", pa.int64()), ("last", pa.bool_()), ("formatted", pa.string()), ("spans", pa.list_(_PAIR)), ("loss_spans", pa.list_(_PAIR))])
+
+
+def format_blocks(rows: DataFrame, render: Render = render_instruct, learn: tuple = ("assistant",), reach: int = 1, size: int = 1 << 20) -> DataFrame:
+    """Rows (conv_id, block, last, formatted, spans, loss_spans): a conversation's blocks follow each other within a
+    partition, begin with a turn and end with the one that fills ``size`` characters; spans count from the block's start.
+
+    reach: turns before a turn that its output may depend on (``increments``). Sorting spills, and a task
+    holds a batch of rows and a block."""
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    ordered = (
+        rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+        .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    )
+
+    def run(batches):
+        frames: dict = {}
+        current: list = []  # the turn that increments takes next
+        steps = conv = None
+        block, parts, spans, loss, length = 0, [], [], [], 0
+        done, weight, kind = [], 0, None
+
+        def turns():
+            while True:
+                yield current.pop()
+
+        def close(last):
+            nonlocal block, parts, spans, loss, length, weight
+            done.append((conv, block, last, "".join(parts), spans, loss))
+            weight += length
+            block, parts, spans, loss, length = block + 1, [], [], [], 0
+
+        def emit():
+            nonlocal done, weight
+            columns = list(zip(*done, strict=True))
+            done, weight = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, f.type) for c, f in zip(columns[1:], _BLOCK, strict=True))], ["conv_id", *_BLOCK.names])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for of, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if steps is None or of != conv:
+                    if steps is not None:
+                        close(True)
+                    conv, block, steps = of, 0, increments(render, turns(), reach, frames)
+                elif length >= size:
+                    close(False)
+                current.append((role, text))
+                part, span = next(steps)
+                spans.append((length, length + len(part)) if span else (-1, -1))
+                if span and role in learn:
+                    loss.append((length + span.text_start, length + span.text_end))
+                parts.append(part)
+                length += len(part)
+                if weight >= size:
+                    yield emit()
+            if done:
+                yield emit()
+        if steps is not None:
+            close(True)
+            yield emit()
+
+    pair = "array<struct<start:bigint,`end`:bigint>>"
+    return ordered.mapInArrow(run, f"conv_id {kind}, block bigint, last boolean, formatted string, spans {pair}, loss_spans {pair}")
+
+
+class Reader:
+    """What read_back gives, from an output in blocks that begin with a turn."""
+
+    def __init__(self) -> None:
+        self.turns = self.loss_chars = self.chars = 0
+        self.whole, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, formatted: str, loss_spans: list[tuple[int, int]]) -> None:
+        for role, text in parse_instruct(formatted):
+            self.turns += 1
+            self.whole.update(f"{role}\n{text}\n".encode("utf-8", "replace"))
+        for a, b in loss_spans:
+            text = unescape(formatted[a:b])
+            self.loss_chars += len(text)
+            self.loss.update(text.encode("utf-8", "replace"))
+        self.chars += len(formatted)
+
+    def result(self) -> tuple[int, str, int, str]:
+        return self.turns, self.whole.hexdigest(), self.loss_chars, self.loss.hexdigest()
+
+
 def read_back(formatted: str, loss_spans: list[tuple[int, int]]) -> tuple[int, str, int, str]:
     """(turns, digest of the turns, code points under the mask, their digest) from an output of the default template."""
-    turns = parse_instruct(formatted)
-    whole = hashlib.sha256()
-    for role, text in turns:
-        whole.update(f"{role}\n{text}\n".encode("utf-8", "replace"))
-    loss = "".join(unescape(formatted[a:b]) for a, b in loss_spans)
-    return len(turns), whole.hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "replace")).hexdigest()
+    reader = Reader()
+    reader.add(formatted, loss_spans)
+    return reader.result()

@@ -94,18 +94,22 @@ def op10_chat_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     text = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
-    out = chat_render.format_conversations(rows.unionByName(planted))
+    out = chat_render.format_blocks(rows.unionByName(planted))
 
     def digest(batches):
+        reader = chat_render.Reader()
         for b in batches:
-            got = [chat_render.read_back(t, [(s["start"], s["end"]) for s in spans]) + (len(t),) for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            n, turns, chars, loss, formatted = (list(x) for x in zip(*got, strict=True)) if got else ([], [], [], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(turns, pa.string()), pa.array(chars, pa.int64()), pa.array(loss, pa.string()), pa.array(formatted, pa.int64())],
-                ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
-            )
-
-    return out.select("conv_id", "formatted", "loss_spans").mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+            got = []
+            for conv, last, text, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                reader.add(text, [(s["start"], s["end"]) for s in spans])
+                if last:
+                    got.append((conv, *reader.result(), reader.chars))
+                    reader = chat_render.Reader()
+            columns = zip(*got, strict=True) if got else [[]] * 6
+            types = pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    return out.select("conv_id", "last", "formatted", "loss_spans").mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 QUERIES = {

@@ -746,6 +746,50 @@ def test_texts_that_hold_probes():
     assert [out[s.text_start : s.text_end] for s in spans] == [chat_render.escape(t) for _, t in turns]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool<", ""]), st.text(st.sampled_from("ab\\<[]/ \n</s>INST"), max_size=20)), max_size=9), st.integers(0, 3))
+def test_chat_increments_are_whole_prefixes(turns, reach):
+    def answers(turns):  # a frame that depends on the turn before
+        return "BOS" + "".join(f"{'>' if i and turns[i - 1][0] == r else '|'}{r}:{t}\n" for i, (r, t) in enumerate(turns))
+
+    for render, least in ((chat_render.render_instruct, 0), (answers, 1)):
+        if reach >= least:
+            out, spans, rewritten = chat_render.locate(render, turns)
+            parts = list(chat_render.increments(render, turns, reach, {}))
+            assert rewritten is None and "".join(p for p, _ in parts) == out
+            assert [(p, s.text_start, s.text_end) for p, s in parts] == [(out[s.start : s.end], s.text_start - s.start, s.text_end - s.start) for s in spans]
+
+
+def test_chat_increments_refuse_rewriting():
+    with pytest.raises(ValueError, match="rewrites history"):
+        list(chat_render.increments(lambda turns: f"{len(turns)}{turns[-1][1]}", [("user", "a"), ("user", "b")], 1, {}))
+
+
+@pytest.mark.parametrize("size", [1, 40, 1 << 20])
+def test_chat_blocks(spark, size):
+    rows = [(1, 1, "assistant", None), (1, 0, "user", "a"), (2, 0, None, "x"), (None, 0, "user", "n"), (None, 1, "assistant", "m"), (3, 0, "user", "t"), (3, 0, "user", "t"), (3, None, "system", "<s>"), (4, 0, "user", "y" * 9000)]
+    rows += [(5, i, "assistant" if i % 2 else "user", f"turn [{i}] \\" * (i % 5)) for i in range(5000)]  # one conversation has most rows
+    rows = spark.createDataFrame([(*r, "extra", 0) for r in rows], "conv_id long, turn long, role string, text string, last string, block int")
+    whole = {r.conv_id: r for r in chat_render.format_conversations(rows.where("conv_id is null or conv_id <> 5")).collect()}
+    blocks = {}
+    for part in chat_render.format_blocks(rows, size=size).rdd.glom().collect():
+        for r in part:
+            blocks.setdefault(r.conv_id, []).append(r)
+    assert set(blocks) == {None, 1, 2, 3, 4, 5}
+    for conv, got in blocks.items():
+        assert [(r.block, r.last) for r in got] == [(i, i + 1 == len(got)) for i in range(len(got))]
+        assert all(len(r.formatted) - (r.spans[-1].end - r.spans[-1].start) < size for r in got)
+        reader, text = chat_render.Reader(), "".join(r.formatted for r in got)
+        for r in got:
+            reader.add(r.formatted, [tuple(s) for s in r.loss_spans])
+            assert "".join(r.formatted[a:b] for a, b in r.spans) == r.formatted
+        if conv != 5:
+            assert text == whole[conv].formatted and reader.result() == chat_render.read_back(text, [tuple(s) for s in whole[conv].loss_spans])
+    assert len(blocks[5]) == {1: 5000, 1 << 20: 1}.get(size, len(blocks[5]))
+    assert chat_render.parse_instruct("".join(r.formatted for r in blocks[5])) == [("assistant" if i % 2 else "user", f"turn [{i}] \\" * (i % 5)) for i in range(5000)]
+    assert chat_render.format_blocks(rows.limit(0)).collect() == []
+
+
 def test_chat_empty_and_clashing(spark):
     rows = spark.createDataFrame([(1, 0, "user", "a", "x", 5)], "conv_id long, turn long, role string, text string, turns string, formatted int")
     assert [r.formatted for r in chat_render.format_conversations(rows).collect()] == ["<s>[INST] a [/INST]"]
