@@ -13,6 +13,9 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 DECIMAL = "decimal(28,8)"
@@ -224,12 +227,47 @@ def let_both(a: E, b: E, body) -> E:
     return let(a, lambda x: let(b, lambda y: body(x, y)))
 
 
+@dataclass(frozen=True)
+class Comparer:
+    """Rules of a type in place of the built-in ones, each a function of two operands to SQL; None keeps the built-in rule.
+
+    equal and order take a precision too and give null where an operand is null or it is open; equivalent is
+    asked for two values that aren't null; order gives -1, 0 or 1."""
+
+    equal: Callable[[E, E, str | None], str] | None = None
+    equivalent: Callable[[E, E], str] | None = None
+    order: Callable[[E, E, str | None], str] | None = None
+
+
+_COMPARERS: ContextVar[dict[str, Comparer]] = ContextVar("comparers", default={})
+
+
+@contextmanager
+def comparers(by_type: dict[str, Comparer]):
+    """Expressions compiled within use these rules, also for elements, bounds and fields of the type. Keys: type names, or List, Interval
+    and Tuple for all types of the kind. Grouping, sorting, Min and Max keep the order of the columns."""
+    token = _COMPARERS.set(_COMPARERS.get() | by_type)
+    try:
+        yield
+    finally:
+        _COMPARERS.reset(token)
+
+
+def _own(t) -> Comparer:
+    return _COMPARERS.get().get(base(t) if isinstance(t, str) else t[0], _BUILT_IN)
+
+
+_BUILT_IN = Comparer()
+
+
 def order(a: E, b: E, precision: str | None = None) -> str:
     """-1, 0, 1, or null where either is null or it is open."""
     return let_both(*aligned(a, b), lambda x, y: E(_order(x, y, precision), "Integer")).sql
 
 
 def _order(a: E, b: E, precision: str | None) -> str:
+    if own := _own(a.t).order:
+        return own(a, b, precision)
     if base(a.t) in TEMPORAL:
         return order_temporal(a, b, precision)
     if a.t == "Quantity":
@@ -258,6 +296,8 @@ def on_raw(a: E, b: E, op: str) -> str:
 def compare(a: E, b: E, op: str, precision: str | None = None) -> E:
     """a op b in three-valued logic; a plain predicate where the types allow."""
     a, b = aligned(a, b)
+    if op != "=" and _own(a.t).order:
+        return E(f"({order(a, b, precision)} {op} 0)", "Boolean")
     if a.t in (*NUMBERS, "String", "Boolean"):
         return E(f"({a} {op} {b}{on_raw(a, b, op)})", "Boolean")
     if base(a.t) in TEMPORAL and precision != "week":
@@ -271,6 +311,8 @@ def compare(a: E, b: E, op: str, precision: str | None = None) -> E:
 def equal(a: E, b: E, precision: str | None = None) -> E:
     """CQL equality: null if either side is null or it is open; by field for tuples."""
     a, b = aligned(a, b)
+    if own := _own(a.t).equal:
+        return let_both(a, b, lambda x, y: E(f"({own(x, y, precision)})", "Boolean"))
     if isinstance(a.t, str) and (base(a.t) in TEMPORAL or a.t in (*NUMBERS, "String", "Boolean", "Quantity")):
         return compare(a, b, "=", precision)
     return let_both(a, b, lambda x, y: _equal(x, y, precision))
@@ -301,6 +343,8 @@ def equivalent(a: E, b: E) -> E:
 
 
 def _equivalent(a: E, b: E) -> E:
+    if a.t == b.t and (own := _own(a.t).equivalent):
+        return E(f"case when {a} is null or {b} is null then {a} is null and {b} is null else {own(a, b)} end", "Boolean")
     if {a.t, b.t} in ({"Code", "Concept"}, {"Concept"}):
         a, b = coerce(a, "Concept"), coerce(b, "Concept")
         key = lambda e: f"transform(({e}).codes, c -> concat_ws('|', lower(c.code), lower(c.system)))"

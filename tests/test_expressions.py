@@ -198,6 +198,23 @@ def test_external_functions_run(spark):
         Compiler(compiler.library).compile("Twice(4)")
 
 
+def test_comparers_of_a_type(spark):
+    by_length = core.Comparer(
+        equal=lambda a, b, _: f"length({a}) = length({b})",
+        equivalent=lambda a, b: f"abs(length({a}) - length({b})) < 2",
+        order=lambda a, b, _: f"sign(length({a}) - length({b}))",
+    )
+    cases = {
+        "'ab' = 'xy'": (False, True), "'ab' != 'xy'": (True, False), "'ab' ~ 'xyz'": (False, True), "'b' < 'ab'": (False, True), "'ab' between 'z' and 'aaa'": (False, True),
+        "{'ab', 'c'} = {'xy', 'd'}": (False, True), "'ab' = null": (None, None), "'ab' ~ null": (False, False), "null < 'ab'": (None, None), "1 = 1": (True, True), "1 < 2": (True, True),
+        "Tuple { a: 'ab' } = Tuple { a: 'xy' }": (False, True), "Interval['a', 'c'] ~ Interval['x', 'z']": (False, True),
+    }
+    for expression, (plain, own) in cases.items():
+        with core.comparers({"String": by_length}):
+            changed = Compiler().compile(expression).sql
+        assert list(spark.range(1).selectExpr(Compiler().compile(expression).sql, changed).first()) == [plain, own], expression
+
+
 @pytest.mark.parametrize("expression, step", [("ToDate('2014')", " + 1 year"), ("ToDateTime('2014-02')", " - 3 days"), ("Interval[ToDateTime('2013'), ToDateTime('2015-01')]", " union Interval[ToDateTime('2014'), ToDateTime('2016')]")])
 def test_text_grows_by_addition(expression, step):
     """Partial dates: each step adds the same length of text, and little of it."""
